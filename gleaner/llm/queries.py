@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, secrets, simhash, toxicity
+from . import mixing, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_credential_links": secrets.query,
     "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
+    "op7_packing": packing.query,
     "op8_simhash": simhash.query,
     "op9_pii_sanitise": pii.query,
     "op10_pareto_mix": mixing.query,
