@@ -62,3 +62,14 @@ def pieces(text: Column, pattern: str) -> Column:
         ),
     )
     return walk["out"]
+
+
+def rewrite(text: Column, found: Column) -> Column:
+    """text with each span of (start, end, replacement) replaced; where spans overlap, the earlier one goes first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = lambda a, x: F.when(
+        x["e"] > a["at"],
+        F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(F.when(x["s"] > a["at"], F.substring(text, a["at"] + 1, x["s"] - a["at"])).otherwise(""), F.when(x["s"] >= a["at"], x["m"]).otherwise(""))).alias("out")),
+    ).otherwise(a)
+    walk = F.aggregate(found, start, step)
+    return F.concat(F.array_join(walk["out"], ""), F.substring(text, walk["at"] + 1, F.length(text)))

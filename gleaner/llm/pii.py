@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, staged, table
+from .common import pieces, rewrite, staged, table
 
 #: Detectors in their fixed order.  Each starts at the head of its run or where the last match ended, so a long run is
 #: walked once; possessive repeats keep the stack flat.  Neither changes what matches.
@@ -135,24 +135,13 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _rewrite(text: Column, found: Column) -> Column:
-    """text with each span of (start, end, replacement) replaced; where spans overlap, the earlier one goes first."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, x: F.when(
-        x["e"] > a["at"],
-        F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(F.when(x["s"] > a["at"], F.substring(text, a["at"] + 1, x["s"] - a["at"])).otherwise(""), F.when(x["s"] >= a["at"], x["m"]).otherwise(""))).alias("out")),
-    ).otherwise(a)
-    walk = F.aggregate(found, start, step)
-    return F.concat(F.array_join(walk["out"], ""), F.substring(text, walk["at"] + 1, F.length(text)))
-
-
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """All documents with their columns; personal data replaced by its kind in brackets, revealing terms generalised or removed."""
     mentions = _mentions(docs, text, keep=True)
     rows = mentions.select("row", "spans", "whole").join(_revealing(mentions.select("row", "spans", "terms"), docs, text), "row", "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("m")))
-    new = _rewrite(F.col(f"whole.`{text}`"), F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(_SPANS)))))
+    new = rewrite(F.col(f"whole.`{text}`"), F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(_SPANS)))))
     changed = rows.select(F.col("whole").withField(f"`{text}`", new).alias("whole")).select("whole.*")
     return docs.where(F.size(spans(F.col(text))) == 0).unionByName(changed)
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, secrets, simhash, toxicity
+from . import chunks, mixing, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_credential_links": secrets.query,
+    "op4_chunk_repeats": chunks.query,
     "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
     "op7_packing": packing.query,
