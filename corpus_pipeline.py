@@ -1,5 +1,57 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
+documents.  Labels are joined by doc_id, so the quality model learns only from documents of the stage's input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from gleaner.llm import mixing, packing, pii, quality, simhash
+from gleaner.llm.common import staged, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return simhash.representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced and terms that reveal it generalised or removed."""
+    return pii.sanitise(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mixture takes it."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences, one row each."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("packing", packed),
+]
+
+#: A trained model, hash ranks and a tokenizer: SQL can't express these stages; tests hold them against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, mixing, packing, pii, quality, secrets, simhash, toxicity
+from . import ann, chunks, impact, mixing, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": ann.query,
     "op2_credential_links": secrets.query,
+    "op3_impact_topk": impact.query,
     "op4_chunk_repeats": chunks.query,
     "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
