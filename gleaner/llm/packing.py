@@ -18,7 +18,9 @@ occur; null doc_id is carried; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ CLOSE = 1
 AFTER_SENTENCE, ELSEWHERE = 4.0, 64.0
 #: Ids that are packed at a time.
 BLOCK = 1 << 18
+_CLOSE = array("I", [CLOSE]).tobytes()
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,62 +49,88 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose normal form is their lower case: printable ASCII and the precomposed letters of Latin-1 and Latin Extended-A.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: The vocabulary's split of such words after lower-casing: endings, letters, single digits, punctuation.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[!-/:-@\\[-`{-~]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: itself where printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """text -> ids.  The tokenizer drops white space and never joins across it, so words are encoded one by one and kept."""
+    """text -> ids.  The tokenizer drops white space and never joins across it, so words are encoded one by one and kept.
+
+    Plain words are split here and their parts given to the vocabulary's merges, which costs a fifth of the whole
+    tokenizer; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache = Cache(None)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words, self.parts = Cache(self._word), Cache(self._part)
         size = self.tokenizer.get_vocab_size()
         #: Whether a sentence ends after an id.
         self.ends = np.zeros(max(size, CLOSE + 1), bool)
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.removesuffix("</w>")[-1:] in (".", "!", "?") and word.endswith("</w>")
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > 400_000:
-            cache.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-        close = np.array([CLOSE], np.uint32).tobytes()
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join([*map(get, words), close]), np.uint32) for words in split]
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join([self.letters[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return np.frombuffer(b"".join([*map(self.words.__getitem__, words), _CLOSE]), np.uint32)
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, width: int = WIDTH) -> list[int]:
     """Indices into `at` of the cheapest window ends; `at` rises from 0, steps by at most width, and ends with the stream."""
     n = len(at)
-    pos = at.tolist()
-    pen = penalty.tolist()
+    pos, pen = at.tolist(), penalty.tolist()
+    # For each cut, the cuts a power of two before it.
+    index = np.full(int(at[-1]) + 1, -1, np.int64)
+    index[at] = np.arange(n)
+    hits = []
+    for k in range(width.bit_length()):
+        j = np.flatnonzero(at >= 1 << k)
+        i = index[at[j] - (1 << k)]
+        hits.append(np.stack([j, i])[:, i >= 0])
+    hits = np.concatenate(hits, 1)
+    hits = hits[:, np.argsort(hits[0], kind="stable")]
+    first = np.searchsorted(hits[0], np.arange(n + 1)).tolist()
+    before = hits[1].tolist()
     cost, came = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    where = {0: 0}
-    powers = [1 << k for k in range(width.bit_length())]
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f[i] + i, place of i, i), rising
     for j in range(1, n):
         p = pos[j]
         low = p - width
-        while pos[queue[0][1]] < low:
+        while queue[0][1] < low:
             queue.popleft()
-        best, i = queue[0]
+        best, _, i = queue[0]
         best += width - p
-        for step in powers:
-            k = where.get(p - step)
-            if k is not None and cost[k] < best:
+        for k in before[first[j] : first[j + 1]]:
+            if cost[k] < best:
                 best, i = cost[k], k
         cost[j] = best = best + pen[j]
         came[j] = i
-        where[p] = j
         key = best + p
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, j))
+        queue.append((key, p, j))
     out = [n - 1]
     while came[out[-1]]:
         out.append(came[out[-1]])
@@ -179,11 +208,8 @@ def _pack(vocabulary: str, width: int):
         encode = Encoder(vocabulary)
         packer = Packer(encode, TaskContext.get().partitionId() << 40, width)
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part, rows = b.slice(i, 64), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    rows += packer.add(doc_id, ids)
-                if rows:
+            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                if rows := packer.add(doc_id.as_py(), encode(text.as_py() or "")):
                     yield batch(rows)
         yield batch(packer.pack(True))
 
