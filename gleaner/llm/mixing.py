@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     after = order.rowsBetween(0, Window.unboundedFollowing)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    rows = rows.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.struct(F.col("most") / F.col("w"), "level"))).over(every)["level"])
+    rows = rows.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.struct(F.col("most") / F.col("w"), "skey", "level"))).over(every)["level"])
     return rows.select("skey", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
