@@ -63,8 +63,8 @@ def _list(rows: Column) -> Column:
 def link(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
     """One row per document row: doc_id, base (strong spans) and found (those and the linked weak ones), by start, then kind.
 
-    Identifiers (access, weak_id) need a secret (assign, hex, weak_key); secrets need an identifier or an endpoint;
-    endpoints need an identifier or a secret.  Overlapping parts don't complement each other.
+    Identifiers (access, weak_id) and endpoints need a secret (assign, hex, weak_key); secrets need an identifier or an
+    endpoint.  Overlapping parts don't complement each other.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", parts(F.col(text)).alias("parts"))
     one = rows.select("row", "doc_id", F.explode_outer("parts").alias("p"))
@@ -83,7 +83,7 @@ def link(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
         gap = F.when(F.col("opens") == 1, F.col("at") - F.col(f"{name}_before")).otherwise(F.col(f"{name}_after") - F.col("at"))
         return F.coalesce(gap <= scope, F.lit(False))
 
-    joined = F.when(classes["id"], near("key")).when(classes["key"], near("id") | near("end")).otherwise(near("id") | near("key"))
+    joined = F.when(classes["key"], near("id") | near("end")).otherwise(near("key"))
     spans = ends.groupBy("row", "doc_id").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("p.k") <= 2, F.col("p"))))).alias("base"),
         F.array_distinct(F.array_sort(F.collect_list(F.when((F.col("p.k") <= 2) | joined, F.col("p"))))).alias("found"),
