@@ -4,7 +4,9 @@ A document is a bag of sentences.  A sentence's probability is logistic in the w
 document's is their noisy-or, 1 - prod(1 - p).  Only document labels train it: proximal gradient steps on the document
 likelihood with an L1 penalty on non-negative weights, so few terms keep one.  The same sentence scores then locate the offending sentences.
 
-Defined results: null and empty text has no sentence that holds a term and gets a score of nearly 0; every row gives one result;
+Sentences without a weighted term are no instances, so length alone never makes a document toxic.
+
+Defined results: text without such a sentence, null and empty text included, has score 0; every row gives one result;
 null doc_id is carried and counts as held out; without labels of both classes no term has a weight; an empty table gives an
 empty result; other columns are not read.
 """
@@ -95,6 +97,8 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 250, rate: float = 0.25
         doc.append(np.full(n, d))
         at += n
     sent, feat, doc = map(np.concatenate, (sent, feat, doc))
+    heard, sent = np.unique(sent, return_inverse=True)  # a sentence without terms is no instance
+    doc, at = doc[heard], len(heard)
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, b = np.zeros(len(used)), -4.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -120,15 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 
 def sentence_scores(text: str, model: Model, cache: Cache) -> list[tuple[int, int, float]]:
-    """(start, end, logit) of each sentence that holds a weighted term, and how many there are besides as (-1, n, bias)."""
-    out, plain, weights = [], 0, cache.weights
+    """(start, end, logit) of each sentence that holds a weighted term."""
+    out, weights = [], cache.weights
     for s in _SENTENCE.finditer(text):
         got = [x for x in map(cache.__getitem__, set(_WORD.findall(s[0].lower()))) if x]
         if got:
             out.append((s.start(), s.end(), model.bias + sum(weights[k] for k in set().union(*got))))
-        else:
-            plain += 1
-    return [*out, (-1, plain, model.bias)]
+    return out
 
 
 def _cache(model: Model) -> Cache:
@@ -141,14 +143,12 @@ def _cache(model: Model) -> Cache:
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(model)
-        base = float(np.logaddexp(0, model.bias))
         for b in batches:
             scores, spots = [], []
             for x in b.column(0):
                 rows = sentence_scores(x.as_py() or "", model, cache)
-                clean = rows[-1][1] * base + sum(float(np.logaddexp(0, z)) for *_, z in rows[:-1])
-                scores.append(-float(np.expm1(-clean)))
-                spots.append(",".join(f"{s}:{e}" for s, e, z in rows[:-1] if z >= 0))
+                scores.append(1.0 - float(np.exp(-sum(float(np.logaddexp(0, z)) for *_, z in rows))))
+                spots.append(",".join(f"{s}:{e}" for s, e, z in rows if z >= 0))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scores, pa.float64()), pa.array(spots, pa.string())], ["doc_id", "score", "sentences"])
 
     return run
