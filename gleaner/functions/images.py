@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A generic face: eyes, nose, mouth corners.
 FACE_MODEL = np.array([[-30.0, 35.0, 30.0], [30.0, 35.0, 30.0], [0.0, 0.0, 0.0], [-25.0, -30.0, 20.0], [25.0, -30.0, 20.0]])
@@ -25,7 +26,7 @@ def sharpness(image: np.ndarray) -> float:
     return float(lap.var())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness_of(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """Sharpness of 8-bit gray images as row-major bytes; null pixels give 0."""
     one = lambda b, h, w: sharpness(np.frombuffer(b, np.uint8).reshape(int(h), int(w))) if b else 0.0
@@ -74,7 +75,7 @@ def head_pose(landmarks, shape: tuple[int, int] | None = None) -> tuple[float, f
     return fold(pitch), fold(yaw), fold(roll)
 
 
-@F.pandas_udf("struct<pitch:double,yaw:double,roll:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("pitch", "yaw", "roll")]))
 def head_pose_of(landmarks: pd.Series) -> pd.DataFrame:
     def one(x):
         pts = [list(p) for p in x] if x is not None and all(p is not None for p in x) else None

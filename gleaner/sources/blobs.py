@@ -6,15 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode(v: pd.Series) -> pd.Series:
     """Null for null and empty vectors."""
     return v.map(lambda x: None if x is None or len(x) == 0 else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _decode(blob: pd.Series, dimension: pd.Series) -> pd.Series:
     def one(b, n):
         if b is None or pd.isna(n):
