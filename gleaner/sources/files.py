@@ -61,6 +61,6 @@ def decoded(images: DataFrame, decode: Callable[[bytes], object], run: Callable[
                 except Exception as e:  # a bad image must not end the job
                     rows = [{"error": f"{type(e).__name__}: {e}"}]
                 out += [{"event_name": event, "image_id": image_id, "error": None, **r} for r in rows]
-            yield pd.DataFrame(out, columns=["event_name", "image_id", "error", *names])
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in ("event_name", "image_id", "error", *names)})
 
     return images.select("event_name", "image_id", "content").mapInPandas(go, f"event_name string, image_id string, error string, {schema}")
