@@ -752,7 +752,7 @@ def _(spark, d):
 _IOU = "found AS (SELECT * FROM bodies WHERE confidence >= 0.4 AND class_id = 0), truth AS (SELECT image_id, body_ord AS truth_ord, x1, y1, x2, y2 FROM bodies WHERE body_ord % 2 = 0), met AS (SELECT f.image_id, f.body_ord, t.truth_ord FROM (SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS a FROM found) f JOIN (SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS a FROM truth) t USING (image_id) WHERE greatest(0, least(f.x2, t.x2) - greatest(f.x1, t.x1)) * greatest(0, least(f.y2, t.y2) - greatest(f.y1, t.y1)) >= 0.5 * (f.a + t.a - greatest(0, least(f.x2, t.x2) - greatest(f.x1, t.x1)) * greatest(0, least(f.y2, t.y2) - greatest(f.y1, t.y1))))"
 
 
-@query("ev_detection", sql("SELECT 'E0' AS event_name, round((SELECT count(*) FROM (SELECT DISTINCT image_id, body_ord FROM met)) / (SELECT count(*) FROM found), 4) AS precision, round((SELECT count(*) FROM (SELECT DISTINCT image_id, truth_ord FROM met)) / (SELECT count(*) FROM truth), 4) AS recall", _IOU))
+@query("ev_detection", sql("SELECT 'E0' AS event_name, round((SELECT count(*) FROM (SELECT DISTINCT image_id, body_ord FROM met)) / nullif((SELECT count(*) FROM found), 0), 4) AS precision, round((SELECT count(*) FROM (SELECT DISTINCT image_id, truth_ord FROM met)) / nullif((SELECT count(*) FROM truth), 0), 4) AS recall", _IOU))
 def _(spark, d):
     bodies = X.faces_and_bodies(spark, d)[1]
     truth = bodies.where("body_ord % 2 = 0").withColumnRenamed("body_ord", "truth_ord")
