@@ -1,11 +1,11 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
 A component's floor(64 x) is its impact, a dimension is a term, and a posting segment holds the rows of a block with one
-impact in one dimension.  A query's segments are processed by descending contribution (query impact x segment impact), so
-whole segments add to the accumulators at once.  After each level, a row's score is at most its accumulator plus
-sqrt(q'q') sqrt(x'x') over the dimensions it has not been met in (Cauchy-Schwarz).  Processing stops once this proves that few rows can
-belong to the result; these possible members are rescored exactly.  A lower bound of the k-th score comes from exact scores
-of a bounded sample and of the block's leaders.
+impact in one dimension.  A query's segments are processed by descending size of their contribution (query impact x segment
+impact), so whole segments add to the accumulators at once.  Impacts have signs here, so what is left of a row's score after
+a level is at most the number of dimensions it has not been met in, times the level's smallest contribution.  Processing
+stops once this proves that few rows can belong to the result; these possible members are rescored exactly.  A lower bound of
+the k-th score comes from exact scores of a bounded sample and of the block's leaders.
 
 Defined results: vectors that are null or not finite, or not of the usual length, take no part; a repeated vec_id stands for
 the least of its vectors; ties go to the smaller vec_id; an empty table gives an empty result; other columns are not read.
@@ -25,10 +25,12 @@ from .common import staged, table
 from .vectors import blockwise, clean, matrix, result, sample
 
 SCALE = 64
-#: Share of a block's postings processed before the first proof; it doubles from level to level.
-FIRST_LEVEL = 0.1
+#: Sums of gains below this size and counts up to 2 ** 20 share a double.
+_HALF = 2.0**30
+#: Shares of a block's postings processed up to each proof; after the last one all scores are known.
+LEVELS = (0.5, 0.7, 1.0)
 #: Processing stops when at most this share of the block can still belong to the result.
-FEW = 0.15
+FEW = 0.3
 
 
 class Index:
@@ -38,42 +40,64 @@ class Index:
         self.n, self.dims = z.shape
         order = np.argsort(z, axis=0, kind="stable").T
         self.rows = order.ravel()
-        value = np.take_along_axis(z.T, order, 1).ravel()
+        self.value = np.take_along_axis(z.T, order, 1).ravel().astype(np.float64)
         dim = np.repeat(np.arange(self.dims), self.n)
-        first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (dim[1:] != dim[:-1]))))
-        self.start, self.impact, self.dim = first, value[first].astype(np.float64), dim[first]
-        self.count = np.diff(np.append(first, len(value)))
+        first = np.flatnonzero(np.concatenate(([True], (self.value[1:] != self.value[:-1]) | (dim[1:] != dim[:-1]))))
+        self.dim = dim[first]
+        self.start = np.append(first, len(self.value))
+        self.count = np.diff(self.start)
         self.z = np.ascontiguousarray(z, np.float64)
-        self.norm2 = (self.z**2).sum(1)
+        # Scratch room: fresh arrays of this size cost more than the sums.
+        self._rows, self._gain = np.empty_like(self.rows), np.empty_like(self.value)
+
+    def _runs(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and dimensions of the postings of a mask of segments; neighbours of one dimension are one run."""
+        on = np.flatnonzero(segments)
+        opens = np.concatenate(([True], (np.diff(on) > 1) | (self.dim[on][1:] != self.dim[on][:-1])))
+        closes = np.append(opens[1:], True)
+        return self.start[on[opens]], self.start[on[closes] + 1], self.dim[on[opens]]
 
     def search(self, q: np.ndarray, k: int, bound: float, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the best k, all with a score of at least `bound` or the block's k-th, and their scores."""
-        gain = q[self.dim] * self.impact
-        order = np.argsort(-gain, kind="stable")
+        """Rows that may be among the best k - all that score `bound` or the block's k-th score, at least - and their scores."""
+        size = np.abs(q[self.dim] * self.value[self.start[:-1]])
+        order = np.argsort(-size, kind="stable")
         upto = np.cumsum(self.count[order])
-        score, seen_q, seen_x = np.zeros(self.n), np.zeros(self.n), np.zeros(self.n)
-        done, goal, rest_q = 0, FIRST_LEVEL, float(q @ q)
-        while True:
-            end = int(np.searchsorted(upto, goal * upto[-1], "left")) + 1
-            segs = order[done:end]
-            n = self.count[segs]
-            at = np.repeat(self.start[segs] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            rows = self.rows[at]
-            score += np.bincount(rows, np.repeat(gain[segs], n), self.n)
-            seen_q += np.bincount(rows, np.repeat(q[self.dim[segs]] ** 2, n), self.n)
-            seen_x += np.bincount(rows, np.repeat(self.impact[segs] ** 2, n), self.n)
-            done = end
-            most = score + np.sqrt(np.maximum(rest_q - seen_q, 0) * np.maximum(self.norm2 - seen_x, 0))
+        score, unmet = np.zeros(self.n), np.full(self.n, float(self.dims))
+        above = np.inf
+        for level in LEVELS:
+            end = int(np.searchsorted(upto, level * upto[-1], "left"))
+            floor = size[order[end]] if level < 1 else 0.0
+            segments = (size >= floor) & (size < above)
+            if segments.any():
+                starts, ends, dims = (x.tolist() for x in self._runs(segments))
+                n = sum(ends) - sum(starts)
+                rows, gain = self._rows[:n], self._gain[:n]
+                np.concatenate([self.rows[a:b] for a, b in zip(starts, ends, strict=True)], out=rows)
+                to = 0
+                for a, b, weight in zip(starts, ends, q[dims].tolist(), strict=True):
+                    np.multiply(self.value[a:b], weight, out=gain[to : to + b - a])
+                    to += b - a
+                # A row's sum and number of gains in one pass, where both fit into a double together.
+                if size[order[0]] * self.dims < _HALF:
+                    gain += 2 * _HALF
+                    both = np.bincount(rows, gain, self.n)
+                    met = np.rint(both / (2 * _HALF))
+                    score += both - met * (2 * _HALF)
+                else:
+                    met = np.bincount(rows, minlength=self.n)
+                    score += np.bincount(rows, gain, self.n)
+                unmet -= met
+            above = floor
+            most = score + unmet * above
             if own >= 0:
                 most[own] = -np.inf
             low = bound
             if self.n - (own >= 0) >= k:
-                lead = np.argpartition(-np.where(np.isfinite(most), score, -np.inf), k - 1)[:k]
+                lead = np.argpartition(-most, k - 1)[:k]
                 low = max(low, float((self.z[lead] @ q).min()))
-            possible = np.flatnonzero(most >= low - 1e-6 * max(1.0, abs(low)) if np.isfinite(low) else np.isfinite(most))
-            if done >= len(order) or len(possible) <= FEW * self.n:
+            possible = np.flatnonzero(most >= low) if np.isfinite(low) else np.flatnonzero(np.isfinite(most))
+            if level == 1 or len(possible) <= FEW * self.n:
                 return possible, self.z[possible] @ q
-            goal *= 2
 
 
 def _impacts(x: np.ndarray) -> np.ndarray:
