@@ -27,7 +27,7 @@ from .common import held_out, table
 from .training import Cache, sample
 
 #: Bounds of the training sample: labelled rows, and sentence features of all of them together.
-ROWS, FEATURES = 8000, 16_000_000
+ROWS, FEATURES = 8000, 10_000_000
 BITS = 20
 #: Beginnings of words that are features of their own.
 HEADS = (3, 4, 5)
@@ -92,9 +92,9 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 250, rate: float = 0.25
         n = int((x < 0).sum())
         f = x >= 0
         k = place[x[f]]
-        sent.append(s[f][k >= 0])
-        feat.append(k[k >= 0])
-        doc.append(np.full(n, d))
+        sent.append(s[f][k >= 0].astype(np.int32))
+        feat.append(k[k >= 0].astype(np.int32))
+        doc.append(np.full(n, d, np.int32))
         at += n
     sent, feat, doc = map(np.concatenate, (sent, feat, doc))
     heard, sent = np.unique(sent, return_inverse=True)  # a sentence without terms is no instance

@@ -51,7 +51,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int,
     chosen = labelled(labels, label, rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("at", "y", "text")
     out, total = [], 0
-    found = texts.mapInArrow(run, "at long, y int, x binary").orderBy("at", "x")
+    # Ordered by hashes: range bounds are sampled to the driver, and features are long.
+    found = texts.mapInArrow(run, "at long, y int, x binary").orderBy("at", F.xxhash64("x"))
     for r in found.toLocalIterator(prefetchPartitions=False):
         x = np.frombuffer(bytes(r["x"]), np.int32)
         total += len(x)
