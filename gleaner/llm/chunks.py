@@ -1,12 +1,13 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the UTF-8 bytes (window 16) cuts each text wherever its upper bits are zero, so equal passages are
-cut alike wherever they stand, and an insertion moves no cut further away than a window.  Chunks are told apart by 96 bits
-of their digest.  Runs of neighbouring chunks that other documents hold too, of LEAST_WORDS words or more, are repeated
-passages; the document with the smallest doc_id that holds a chunk keeps it.
+A gear rolling hash over the UTF-8 bytes (window 16) cuts each text wherever it is small, and in stretches without such a
+place (periodic ones have none) at its local minima; so equal passages are cut alike wherever they stand, and an insertion
+moves no cut further away than a window.  Chunks are told apart by 96 bits of their digest.  Runs of neighbouring chunks that
+other documents hold too, of LEAST_WORDS words or more, are repeated passages; the document with the smallest doc_id that
+holds a chunk keeps it.
 
-Passages of more than 50 words hold about ten cuts, of which the outer two or three may be lost; LEAST_WORDS stays well below what
-is left of them and above the set phrases that unrelated documents share.
+LEAST_WORDS stays below what is left of a passage of more than 50 words without its outer chunks, and above the set phrases
+that unrelated documents share.
 
 Defined results: null or empty text has no chunks; rows that repeat a doc_id are one document, whose chunks don't repeat by
 that; chunks of rows without doc_id are compared with others but reported only beside a document with one; an empty table
@@ -24,18 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rewrite, staged, table
+from .common import rewrite, table
 
-#: Bytes of a chunk: on average about MEAN, and between LEAST and MOST (but for the last of a text).
+#: Cuts by size of the hash lie MEAN bytes apart on average; chunks have LEAST to MOST bytes (but for the last of a text).
 MEAN, LEAST, MOST = 32, 8, 256
 WINDOW = 16
+#: Stretches of more than twice as many bytes without a cut are cut at minima over as many on either side.
+REACH = 32
 LEAST_WORDS = 12
 #: One 16-bit number for each byte, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2026) & 0xFFFF for b in range(256)], np.uint16)
-_MASK = np.uint16(0xFFFF ^ (0xFFFF // MEAN))
+_SMALL = np.uint16((1 << 16) // MEAN)
 #: Bytes of text worked on at a time.
 _BLOCK = 4 << 20
-SCHEMA = "row long, doc_id long, idx int, start int, size int, words int, d1 long, d2 int"
+#: at: start, size and words of a chunk in one number, as shuffles carry it.
+SCHEMA = "row long, doc_id long, at long, d1 long, d2 int"
+_SIZE_BITS, _WORD_BITS = 12, 12
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -46,17 +51,42 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def minima(h: np.ndarray) -> np.ndarray:
+    """Where h is least among REACH neighbours on either side."""
+    width, low = 1, h
+    while width < 2 * REACH + 1:  # low[i] = least of h[i : i + width]
+        step = min(width, 2 * REACH + 1 - width)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        width += step
+    out = np.zeros(len(h), bool)
+    out[REACH : REACH + len(low)] = h[REACH : REACH + len(low)] == low
+    return out
+
+
+def _apart(at: np.ndarray) -> np.ndarray:
+    return at[np.concatenate(([True], np.diff(at) >= LEAST))] if len(at) else at
+
+
 def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Chunk bounds of texts that lie one after the other; offsets (len(texts) + 1) are among them."""
-    at = np.flatnonzero((rolling(data) & _MASK) == 0) + 1
-    at = at[at < len(data)]
-    at = at[(data[at] & 0xC0) != 0x80]  # never inside of a character
-    begin = offsets[np.searchsorted(offsets, at, "right") - 1]
-    at = at[at - begin >= WINDOW]  # the hash knows only bytes of its own text
-    if len(at):
-        at = at[np.concatenate(([True], np.diff(at) >= LEAST))]
-    at = np.unique(np.concatenate([offsets, at]))
+
+    def inner(at: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Of cuts, those between characters and with so many bytes of their own text on either side."""
+        at = at[at < len(data)]
+        at = at[(data[at] & 0xC0) != 0x80]
+        text = np.searchsorted(offsets, at, "right")
+        return at[(at - offsets[text - 1] >= begin) & (offsets[text] - at >= end)]
+
+    h = rolling(data)
+    at = np.unique(np.concatenate([offsets, _apart(inner(np.flatnonzero(h < _SMALL) + 1, WINDOW, 0))]))
     gaps = np.diff(at)
+    if len(h) > 2 * REACH and (gaps > 2 * REACH).any():
+        wide = np.repeat(gaps > 2 * REACH, gaps)
+        low = inner(np.flatnonzero(minima(h) & wide) + 1, WINDOW + REACH, REACH)
+        place = np.searchsorted(at, low)
+        low = _apart(low[(low - at[place - 1] >= LEAST) & (at[place] - low >= LEAST)])
+        at = np.unique(np.concatenate([at, low]))
+        gaps = np.diff(at)
     forced = [np.arange(a + MOST, a + g, MOST) for a, g in zip(at[:-1][gaps > MOST], gaps[gaps > MOST], strict=True)]
     if forced:
         f = np.concatenate(forced)
@@ -84,16 +114,13 @@ def _chunk(ids: pa.Array, texts: pa.Array, first_row: int) -> pa.RecordBatch:
     words = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
     view, digest, cut = memoryview(data), xxhash.xxh3_128_digest, at.tolist()
     d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]), [("a", "<i8"), ("b", "<i4"), ("c", "<i4")])
-    first = np.searchsorted(at, offsets[doc])
-    cols = [
-        pa.array(doc + first_row, pa.int64()), ids.take(pa.array(doc)), pa.array((np.arange(len(doc)) - first).astype(np.int32)),
-        pa.array(chars[at[:-1]] - chars[offsets[doc]]), pa.array(chars[at[1:]] - chars[at[:-1]]), pa.array(words[at[1:]] - words[at[:-1]]),
-        pa.array(d["a"].copy()), pa.array(d["b"].copy()),
-    ]
+    start, size, many = chars[at[:-1]] - chars[offsets[doc]], chars[at[1:]] - chars[at[:-1]], words[at[1:]] - words[at[:-1]]
+    spot = (start.astype(np.int64) << (_SIZE_BITS + _WORD_BITS)) | (size << _WORD_BITS) | many
+    cols = [pa.array(doc + first_row, pa.int64()), ids.take(pa.array(doc)), pa.array(spot), pa.array(d["a"].copy()), pa.array(d["b"].copy())]
     return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
 
 
-_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int32())])
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("d1", pa.int64()), ("d2", pa.int32())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +137,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per chunk: its text's row, doc_id, place, start and size in code points, words that start in it, and digest."""
+    """One row per chunk: its text's row, doc_id, its start, size (code points) and words that start in it, and digest.
+
+    They are cheaper to work out again than to keep.
+    """
     return docs.select("doc_id", text).mapInArrow(_chunks, SCHEMA)
 
 
@@ -119,12 +149,18 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS)
 
     holders: the documents that keep its chunks; kept: this document is the only one of them.
     """
-    all_ = staged(chunks(docs, text), "chunks")
+    all_ = chunks(docs, text)
     shared = all_.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
-    hits = all_.join(shared, ["d1", "d2"]).select("row", "doc_id", "idx", "start", "size", "words", "lo")
-    run = F.col("idx") - F.row_number().over(Window.partitionBy("row").orderBy("idx"))
-    runs = hits.withColumn("run", run).groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start_at"), F.max(F.col("start") + F.col("size")).alias("end_at"), F.sum("words").alias("words"),
+    hits = all_.join(shared, ["d1", "d2"]).select(
+        "row", "doc_id", "lo", F.shiftright("at", _SIZE_BITS + _WORD_BITS).alias("start"),
+        F.shiftright("at", _WORD_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).alias("size"), F.col("at").bitwiseAND((1 << _WORD_BITS) - 1).alias("words"),
+    )
+    # A run starts where no shared chunk ends.
+    order = Window.partitionBy("row").orderBy("start")
+    hits = hits.withColumn("opens", F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True)))
+    hits = hits.withColumn("run", F.sum(F.col("opens").cast("int")).over(order))
+    runs = hits.groupBy("row", "doc_id", "run").agg(
+        F.min("start").cast("int").alias("start_at"), F.max(F.col("start") + F.col("size")).cast("int").alias("end_at"), F.sum("words").alias("words"),
         F.min("lo").alias("first_doc_id"), F.array_sort(F.collect_set("lo")).alias("holders"),
     )
     runs = runs.where(F.col("words") >= least_words)
