@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, POSES, Config
+from ..sources.scratch import staged
 from . import scoring
 
 _PREPARED = ("event_name", "observation_id", "image_id", "pose", "face", "body", "quality", "anchor")
@@ -205,15 +206,15 @@ def _assigned(c: Config) -> Callable:
     return run
 
 
-def component_labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """(event_name, a, b) -> event_name, observation_id, component (least id), by minimum labels with pointer jumping."""
-    both = save(edges.select("event_name", "a", "b").union(edges.select("event_name", F.col("b"), F.col("a"))).distinct())
-    labels = save(both.groupBy("event_name", F.col("a").alias("observation_id")).agg(F.least(F.col("observation_id"), F.min("b")).alias("component")))
+    both = staged(edges.select("event_name", "a", "b").union(edges.select("event_name", F.col("b"), F.col("a"))).distinct(), "cluster")
+    labels = staged(both.groupBy("event_name", F.col("a").alias("observation_id")).agg(F.least(F.col("observation_id"), F.min("b")).alias("component")), "cluster")
     while True:
         near = both.join(labels.withColumnRenamed("observation_id", "b"), ["event_name", "b"]).groupBy("event_name", F.col("a").alias("observation_id")).agg(F.min("component").alias("least"))
-        step = save(labels.join(near, ["event_name", "observation_id"]).select("event_name", "observation_id", F.col("component").alias("old"), F.least("component", "least").alias("component")))
+        step = staged(labels.join(near, ["event_name", "observation_id"]).select("event_name", "observation_id", F.col("component").alias("old"), F.least("component", "least").alias("component")), "cluster")
         jump = step.select("event_name", F.col("observation_id").alias("component"), F.col("component").alias("further"))
-        labels = save(step.join(jump, ["event_name", "component"]).select("event_name", "observation_id", "old", F.least("component", "further").alias("component")))
+        labels = staged(step.join(jump, ["event_name", "component"]).select("event_name", "observation_id", "old", F.least("component", "further").alias("component")), "cluster")
         if labels.where("old <> component").isEmpty():
             return labels.select("event_name", "observation_id", "component")
         labels = labels.drop("old")
@@ -228,34 +229,15 @@ def standing(merges: DataFrame) -> DataFrame:
     return worst.join(end, "event_name", "left").where(F.col("merged") & (F.col("end").isNull() | (F.col("worst") <= F.col("end")))).select("event_name", "component", "seq", "id1", "id2")
 
 
-def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a table to the folder of spark.checkpoint.dir and reads it back; a temporary one where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
-        base = spark.sparkContext.getCheckpointDir()
-
-    def save(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/resolve-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return save
-
-
 def cluster(obs: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """event_name, observation_id, cluster_id for every observation; null where it belongs to no confirmed cluster."""
-    save = saver(obs.sparkSession)
-    rows = save(scoring.prepared(obs, c))
-    edges = save(scoring.pair_scores(rows, c, anchored=False).where(F.col("score") >= c.edge).select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b")))
-    grouped = save(rows.join(component_labels(edges, save), ["event_name", "observation_id"]).select(*_PREPARED, "component"))
+    rows = staged(scoring.prepared(obs, c), "cluster")
+    edges = staged(scoring.pair_scores(rows, c, anchored=False).where(F.col("score") >= c.edge).select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b")), "cluster")
+    grouped = staged(rows.join(component_labels(edges), ["event_name", "observation_id"]).select(*_PREPARED, "component"), "cluster")
     merges = grouped.groupBy("event_name", "component").applyInPandas(_merges(c), "event_name string, component long, seq long, score double, id1 long, id2 long, merged boolean")
-    kept = standing(save(merges))
+    kept = standing(staged(merges, "cluster"))
     found = grouped.groupBy("event_name", "component").cogroup(kept.groupBy("event_name", "component")).applyInPandas(_assigned(c), "event_name string, observation_id long, first_id long")
-    return compact(obs, save(found))
+    return compact(obs, staged(found, "cluster"))
 
 
 def compact(obs: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import paths as P
 from ..operators import clustering, matching, selection, state
+from ..sources.scratch import staged
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,8 @@ class Result:
 
 def resolve(obs: DataFrame, refs: DataFrame, urls: DataFrame | None = None, c: Config = DEFAULT) -> Result:
     """Cluster, match, select and report.  Events never meet: every join and window is keyed by event_name."""
-    save = clustering.saver(obs.sparkSession)
-    assignments = save(clustering.cluster(obs, c))
-    matches = save(matching.match_clusters(obs, assignments, refs, c))
+    assignments = staged(clustering.cluster(obs, c), "assignments")
+    matches = staged(matching.match_clusters(obs, assignments, refs, c), "matches")
     members = selection.members(obs, assignments)
     manifest = selection.person_manifest(members, matching.accepted(matches), c)
     if urls is None:

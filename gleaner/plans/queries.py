@@ -416,7 +416,7 @@ def _(spark, d):
 def _(spark, d):
     rows = scoring.prepared(X.observations(spark, d), C)
     edges = scoring.pair_scores(rows, C, anchored=False).where(F.col("score") >= C.edge)
-    return clustering.component_labels(edges.select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b")), clustering.saver(spark))
+    return clustering.component_labels(edges.select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b")))
 
 
 @query("ag_cluster_sizes", sql("SELECT event_name, cluster_id, count(*) AS size FROM member GROUP BY ALL"))
