@@ -5,11 +5,12 @@ norm M, q -> (q / |q|, 0).  Each of TABLES tables hashes a vector to HASHES numb
 The difference of two projections at distance d is normal with deviation d, which gives the probability that a neighbour at
 that distance lies in a bucket a given perturbation away from the query's.  Buckets are visited in the order of that estimate
 until they hold the neighbour with probability 1 - MISS over all tables; d is the distance of the query's k-th neighbour in a
-bounded sample, an upper bound of the true one.  The candidates of the tables are merged and reranked by exact inner products.
+bounded sample, an upper bound of the true one.  Probing goes on while a block has fewer than k candidates.  The candidates of
+the tables are merged and reranked by exact inner products.
 
 Defined results: vectors that are null, zero or not finite, or not of the usual length, take no part; a repeated vec_id
-stands for the least of its vectors; equal scores go to the smaller vec_id; with k candidates or fewer in reach a query gets
-what is found; an empty table gives an empty result; other columns are not read.
+stands for the least of its vectors; equal scores go to the smaller vec_id; with k other rows or fewer a query gets them
+all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,14 +110,20 @@ def _search(hashes: Hashes, k: int):
         for i in range(len(qids)):
             code = plan[i, :n].reshape(TABLES, HASHES)
             logp = plan[i, n : n + n * width].reshape(TABLES, HASHES, width)
-            candidate = np.zeros(len(ids), bool)
+            candidate, chances = np.zeros(len(ids), bool), []
             for t, (buckets, member) in enumerate(tables):
                 step = buckets - code[t]
                 reach = (np.abs(step) <= REACH).all(1)
                 at = np.clip(step + REACH, 0, width - 1).astype(np.int64)
                 chance = logp[t][np.arange(HASHES), at].sum(1)
                 candidate |= (reach & (chance >= plan[i, n + n * width + t]))[member.ravel()]
-            candidate &= ids != qids[i]
+                chances.append(chance[member.ravel()])
+            other = ids != qids[i]
+            candidate &= other
+            if np.count_nonzero(candidate) < k:  # probing goes on until there are k
+                likely = np.argsort(-np.where(other, np.max(chances, 0), -np.inf), kind="stable")
+                candidate[likely[:k]] = True
+                candidate &= other
             rows = np.flatnonzero(candidate)
             if not len(rows):
                 continue

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir, staged
+
+__all__ = ["WORD", "held_out", "pieces", "rewrite", "shared_dir", "staged", "table", "word_count"]
+
 #: A word, wherever a contract speaks of words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -16,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; an own one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The tables stay until the shared folder is cleaned, since lazily evaluated results may still read them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gleaner-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out() -> Column:
     """True where crc32 of doc_id as text leaves remainder 0 modulo 5 (null doc_id: true, it is never a label)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))

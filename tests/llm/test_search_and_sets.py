@@ -85,6 +85,14 @@ def test_searches_at_their_edges(spark):
     assert ann.nearest(none).count() == 0 and impact.top(none).count() == 0
 
 
+def test_few_rows_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 12, 21, 24):
+        x = rng.normal(size=(n, 16)) * rng.uniform(0.1, 30, (n, 1))
+        rows = ann.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).where("query_id = 0").collect()
+        assert len(rows) == min(20, n - 1) and (n > 21 or {r["vec_id"] for r in rows} == set(range(1, n)))
+
+
 # SimHash
 
 
