@@ -33,53 +33,69 @@ def sharpness_of(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.S
     return pd.Series([one(*x) for x in zip(pixels, height, width, strict=True)])
 
 
-def camera(landmarks: np.ndarray, shape: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
-    """Focal length and centre: of the image where its (height, width) is known, else four spans around the landmarks."""
+def camera(landmarks: np.ndarray, shape: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Focal length and centre: of the image where its (height, width) is known, else four spans around the landmarks.
+
+    landmarks: (..., 5, 2); one length and centre for each five.
+    """
     if shape is not None:
         h, w = shape[:2]
-        return float(max(h, w)), np.array([w / 2, h / 2])
-    span = max(1.0, float(np.ptp(landmarks, axis=0).max()))
-    return 4 * span, landmarks.mean(0)
+        return np.full(landmarks.shape[:-2], float(max(h, w))), np.broadcast_to([w / 2, h / 2], (*landmarks.shape[:-2], 2))
+    span = np.maximum(1.0, np.ptp(landmarks, axis=-2).max(-1))
+    return 4 * span, landmarks.mean(-2)
 
 
-def head_pose(landmarks, shape: tuple[int, int] | None = None) -> tuple[float, float, float] | None:
-    """(pitch, yaw, roll) in degrees, in [-90, 90), of five landmarks; null for any other or non-finite input.
+def head_poses(landmarks: np.ndarray, shape: tuple[int, int] | None = None) -> np.ndarray:
+    """(n, 5, 2) finite landmarks -> (n, 3) pitch, yaw, roll in degrees, in [-90, 90); NaN where there is no solution.
 
     Scaled orthography by least squares starts POSIT (DeMenthon and Davis 1995), which corrects for perspective.
     """
-    pts = np.asarray(landmarks if landmarks is not None else [], np.float64)
-    if pts.shape != (5, 2) or not np.isfinite(pts).all():
-        return None
-    f, centre = camera(pts, shape)
+    f, centre = camera(landmarks, shape)
     model = FACE_MODEL - FACE_MODEL[2]
     back = np.linalg.pinv(model)
-    image = (pts - centre) / f
-    depth = np.zeros(5)
+    image = (landmarks - centre[:, None]) / f[:, None, None]
+    depth = np.zeros((len(landmarks), 5))
+    r, bad = np.zeros((len(landmarks), 3, 3)), np.zeros(len(landmarks), bool)
     for _ in range(50):
-        x = back @ (image * (1 + depth)[:, None] - image[2])
-        i, j = x[:, 0], x[:, 1]
-        scale = np.sqrt(np.linalg.norm(i) * np.linalg.norm(j))
-        if not np.isfinite(scale) or scale < 1e-12:
-            return None
-        u, _, v = np.linalg.svd(np.stack([i, j]), full_matrices=False)
-        r2 = u @ v
-        r = np.stack([r2[0], r2[1], np.cross(r2[0], r2[1])])
-        new = model @ r[2] * scale
-        if np.abs(new - depth).max() < 1e-10:
+        x = back @ (image * (1 + depth)[..., None] - image[:, 2:3])  # columns: the first two rows of the rotation, scaled
+        scale = np.sqrt(np.linalg.norm(x[..., 0], axis=1) * np.linalg.norm(x[..., 1], axis=1))
+        bad |= ~np.isfinite(scale) | (scale < 1e-12)
+        x[bad], scale[bad] = np.eye(3)[:, :2], 1.0
+        u, _, v = np.linalg.svd(np.swapaxes(x, 1, 2), full_matrices=False)
+        r[:, :2] = u @ v
+        r[:, 2] = np.cross(r[:, 0], r[:, 1])
+        new = (r[:, 2] @ model.T) * scale[:, None]
+        moved, depth = np.abs(new - depth).max(initial=0), new
+        if moved < 1e-10:
             break
-        depth = new
-    pitch = np.degrees(np.arctan2(r[2, 1], r[2, 2]))
-    yaw = np.degrees(np.arctan2(-r[2, 0], np.hypot(r[2, 1], r[2, 2])))
-    roll = np.degrees(np.arctan2(r[1, 0], r[0, 0]))
-    fold = lambda a: float((a + 90) % 180 - 90)
-    return fold(pitch), fold(yaw), fold(roll)
+    pitch = np.arctan2(r[:, 2, 1], r[:, 2, 2])
+    yaw = np.arctan2(-r[:, 2, 0], np.hypot(r[:, 2, 1], r[:, 2, 2]))
+    roll = np.arctan2(r[:, 1, 0], r[:, 0, 0])
+    out = (np.degrees(np.stack([pitch, yaw, roll], 1)) + 90) % 180 - 90
+    out[bad] = np.nan
+    return out
+
+
+def _five(landmarks) -> np.ndarray | None:
+    try:
+        pts = np.array([list(p) for p in landmarks], np.float64)
+    except (TypeError, ValueError):
+        return None
+    return pts if pts.shape == (5, 2) and np.isfinite(pts).all() else None
+
+
+def head_pose(landmarks, shape: tuple[int, int] | None = None) -> tuple[float, float, float] | None:
+    """(pitch, yaw, roll) of five landmarks; None for any other or non-finite input."""
+    pts = _five(landmarks)
+    got = None if pts is None else head_poses(pts[None], shape)[0]
+    return None if got is None or np.isnan(got).any() else tuple(map(float, got))
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("pitch", "yaw", "roll")]))
 def head_pose_of(landmarks: pd.Series) -> pd.DataFrame:
-    def one(x):
-        pts = [list(p) for p in x] if x is not None and all(p is not None for p in x) else None
-        got = head_pose(pts) if pts is not None and len(pts) == 5 and all(len(p) == 2 and None not in p for p in pts) else None
-        return got or (None, None, None)
-
-    return pd.DataFrame([one(x) for x in landmarks], columns=["pitch", "yaw", "roll"])
+    pts = [_five(x) for x in landmarks]
+    out = np.full((len(pts), 3), np.nan)
+    at = [n for n, x in enumerate(pts) if x is not None]
+    if at:
+        out[at] = head_poses(np.stack([pts[n] for n in at]))
+    return pd.DataFrame({c: pd.Series([None if np.isnan(v) else v for v in out[:, n]], dtype=object) for n, c in enumerate(("pitch", "yaw", "roll"))})

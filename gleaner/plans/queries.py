@@ -782,3 +782,71 @@ def _(spark, d):
 @query("ag_distinct_images", sql("SELECT event_name, cluster_id, count(DISTINCT image_id) AS images FROM member GROUP BY ALL"))
 def _(spark, d):
     return _members(spark, d).groupBy("event_name", "cluster_id").agg(F.count_distinct("image_id").alias("images"))
+
+
+# Pixels, landmarks, models and streams: no SQL for these; the tests hold them
+
+
+@query("fn_sharpness")
+def _(spark, d):
+    from ..functions.images import sharpness_of
+
+    raw = F.encode("html", "utf-8")
+    rows = X.table(spark, d, "pages").where(F.octet_length("html") >= 256).select("page_id", F.substring(raw, 1, 256).alias("pixels"))
+    return rows.select("page_id", r4(sharpness_of("pixels", F.lit(16), F.lit(16))).alias("sharpness"))
+
+
+@query("fn_head_pose")
+def _(spark, d):
+    from ..functions.images import head_pose_of
+
+    i = F.col("event_id")
+    points = ((40, 40), (60, 40), (50, 52), (42, 62), (58, 62))
+    marks = F.array(*[F.array((F.lit(float(x)) + (i * (n + 3)) % 7).cast("double"), (F.lit(float(y)) + (i * (n + 5)) % 5).cast("double")) for n, (x, y) in enumerate(points)])
+    rows = X.table(spark, d, "events").select("event_id", head_pose_of(marks).alias("p"))
+    return rows.select("event_id", r4("p.yaw").alias("yaw"), r4("p.pitch").alias("pitch"), r4("p.roll").alias("roll"), Q.pose_of_yaw(F.col("p.yaw"), C).alias("pose"))
+
+
+def _pixels(content: bytes):
+    """Stands in for a decoder: a 32 x 32 gray image of a page's first bytes; shorter pages can't be read."""
+    import numpy as np
+
+    return np.frombuffer(content[:1024], np.uint8).reshape(32, 32) if len(content) >= 1024 else None
+
+
+def _persons(image) -> list[dict]:
+    return [{"bbox": (int(image[0, n]) % 8, 2, 24 + int(image[1, n]) % 8, 30), "confidence": 0.3 + int(image[2, n]) % 7 / 10} for n in range(2)]
+
+
+def _faces(image) -> list[dict]:
+    marks = [[10, 10], [16, 10], [13, 14], [11, 18], [15, 18]]
+    return [{"bbox": (8 + n, 6, 18 + n, 20), "confidence": 0.9, "landmarks": [[float(x + n), float(y)] for x, y in marks], "embedding": image[n, :8].astype(float)} for n in range(1 + int(image[3, 0]) % 2)]
+
+
+def _encode(image, boxes) -> list:
+    return [image[b[1], b[0] : b[0] + 6].astype(float) for b in boxes]
+
+
+@query("ud_observations")
+def _(spark, d):
+    from . import observe
+
+    images = X.paths(spark, d).join(X.table(spark, d, "pages").select("page_id", "html"), "page_id").select(P.event_of(F.col("path")).alias("event_name"), F.col("path").alias("image_id"), F.encode("html", "utf-8").alias("content"))
+    obs = observe.observe(observe.detect(images, _pixels, _persons, _faces, _encode), C)
+    return obs.select("event_name", "observation_id", "image_id", "observation_type", r4("association_score").alias("association_score"), r4("face_quality").alias("face_quality"), r4("body_quality").alias("body_quality"), "face_embedding_valid", "body_embedding_valid", "face_pose")
+
+
+@query("qs_stream_states")
+def _(spark, d):
+    """Runs the stream of job changes to its end."""
+    import uuid
+
+    from ..sources.scratch import shared_dir
+    from ..streaming.ingest import latest_states
+
+    raw = spark.readStream.schema(X.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    changes = raw.select(F.concat(F.lit("E"), (F.col("user_id") % 4).cast("string")).alias("event_name"), F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    name = f"states_{uuid.uuid4().hex}"
+    mark = f"{shared_dir(spark).rstrip('/')}/{name}"
+    latest_states(changes).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
