@@ -264,7 +264,7 @@ def rejections(rows: DataFrame, c: Config = DEFAULT) -> DataFrame:
     b = rows.select(F.col("event_name").alias("event_b"), *[F.col(n).alias(f"{n}_b") for n in _PREPARED[1:]])
     pairs = a.join(b, (F.col("event_name") == F.col("event_b")) & (F.col("observation_id_a") < F.col("observation_id_b")))
     barred = (F.col("image_id_a") == F.col("image_id_b")) | ~(F.col("anchor_a") | F.col("anchor_b"))
-    pairs = scoring.scored(pairs.withColumn("barred", barred), c)
+    pairs = scoring.scored(pairs.withColumn("barred", barred), c, keep_all=True)
     return pairs.groupBy("event_name").agg(F.count_if("barred").alias("rejected_same_image"), F.count_if(~F.col("barred") & F.col("score").isNull()).alias("rejected_low_similarity"))
 
 

@@ -27,11 +27,25 @@ def _side(rows: DataFrame, s: str) -> DataFrame:
     return rows.select("event_name", *[F.col(n).alias(f"{n}_{s}") for n in rows.columns if n != "event_name"])
 
 
-def scored(pairs: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Adds face_similarity, body_similarity, cross_pose and score to joined sides _a and _b."""
-    sims = pairs.withColumn("face_similarity", V.cosine(F.col("face_a"), F.col("face_b")))
-    sims = sims.withColumn("body_similarity", V.cosine(F.col("body_a"), F.col("body_b"))).withColumn("cross_pose", Q.is_cross_pose(F.col("pose_a"), F.col("pose_b")))
-    return sims.withColumn("score", Q.pair_score(F.col("face_similarity"), F.col("body_similarity"), F.col("cross_pose"), F.col("quality_a"), F.col("quality_b"), c))
+def scored(pairs: DataFrame, c: Config = DEFAULT, keep_all: bool = False) -> DataFrame:
+    """Joined sides _a and _b, without their vectors, with face_similarity, body_similarity, cross_pose and score.
+
+    Pairs without a score go, unless all are kept.  Similarities are bound once, and the filter is part of the generator:
+    as a predicate over a projection it would be pushed down and work out every inner product again.
+    """
+    sims = F.struct(
+        V.cosine(F.col("face_a"), F.col("face_b")).alias("face"), V.cosine(F.col("body_a"), F.col("body_b")).alias("body"),
+        Q.is_cross_pose(F.col("pose_a"), F.col("pose_b")).alias("cross"),
+    )
+    whole = lambda s: F.struct(
+        s["face"].alias("face_similarity"), s["body"].alias("body_similarity"), s["cross"].alias("cross_pose"),
+        Q.pair_score(s["face"], s["body"], s["cross"], F.col("quality_a"), F.col("quality_b"), c).alias("score"),
+    )
+    rows = F.transform(F.array(sims), whole)
+    if not keep_all:
+        rows = F.filter(rows, lambda x: x["score"].isNotNull())
+    vectors = ("face_a", "face_b", "body_a", "body_b")
+    return pairs.select(*[n for n in pairs.columns if n not in vectors], F.inline(rows))
 
 
 def pair_scores(rows: DataFrame, c: Config = DEFAULT, anchored: bool = True) -> DataFrame:
@@ -41,7 +55,7 @@ def pair_scores(rows: DataFrame, c: Config = DEFAULT, anchored: bool = True) ->
     if anchored:
         on = on & (F.col("anchor_a") | F.col("anchor_b"))
     pairs = scored(a.join(b, on), c)
-    return pairs.where("score is not null").select("event_name", "observation_id_a", "observation_id_b", "face_similarity", "body_similarity", "cross_pose", "score")
+    return pairs.select("event_name", "observation_id_a", "observation_id_b", "face_similarity", "body_similarity", "cross_pose", "score")
 
 
 def cluster_pair_scores(scores: DataFrame, members: DataFrame) -> DataFrame:

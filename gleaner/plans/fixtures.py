@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import quality as Q
+from ..functions import vector as V
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _mixed(w: str, a: str, b: str):
 
 
 def _unit(v):
-    return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
+    return V.bound(v, lambda w: V.bound(V.norm(w), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
