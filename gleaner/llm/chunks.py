@@ -145,9 +145,10 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per repeated passage of a document: doc_id, start_at, end_at (code points), words, first_doc_id, holders, kept.
+    """One row per repeated passage of a document: doc_id, start_at, end_at (code points), words, first_doc_id, holders, kept, cuts.
 
-    holders: the documents that keep its chunks; kept: this document is the only one of them.
+    holders: the documents that keep its chunks; kept: this document is the only one of them; cuts: the spans of chunks
+    that another document keeps, as array<struct<s,e>>.
     """
     all_ = chunks(docs, text)
     shared = all_.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
@@ -159,18 +160,26 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS)
     order = Window.partitionBy("row").orderBy("start")
     hits = hits.withColumn("opens", F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True)))
     hits = hits.withColumn("run", F.sum(F.col("opens").cast("int")).over(order))
-    runs = hits.groupBy("row", "doc_id", "run").agg(
-        F.min("start").cast("int").alias("start_at"), F.max(F.col("start") + F.col("size")).cast("int").alias("end_at"), F.sum("words").alias("words"),
-        F.min("lo").alias("first_doc_id"), F.array_sort(F.collect_set("lo")).alias("holders"),
+    # A run is parted where chunks that this document keeps meet chunks that others keep.
+    hits = hits.withColumn("own", F.coalesce(F.col("lo") == F.col("doc_id"), F.lit(False)))
+    hits = hits.withColumn("part", F.sum((F.col("opens") | (F.lag("own", 1, False).over(order) != F.col("own"))).cast("int")).over(order))
+    parts = hits.groupBy("row", "doc_id", "run", "part").agg(
+        F.min("start").cast("int").alias("s"), F.max(F.col("start") + F.col("size")).cast("int").alias("e"), F.sum("words").alias("words"),
+        F.min("lo").alias("lo"), F.collect_set("lo").alias("holders"), F.first("own").alias("own"),
+    )
+    runs = parts.groupBy("row", "doc_id", "run").agg(
+        F.min("s").alias("start_at"), F.max("e").alias("end_at"), F.sum("words").alias("words"), F.min("lo").alias("first_doc_id"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"), F.min("own").alias("kept"),
+        F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("s", "e")))).alias("cuts"),
     )
     runs = runs.where(F.col("words") >= least_words)
-    return runs.select("doc_id", "start_at", "end_at", "words", "first_doc_id", "holders", F.coalesce((F.size("holders") == 1) & (F.col("first_doc_id") == F.col("doc_id")), F.lit(False)).alias("kept"))
+    return runs.select("doc_id", "start_at", "end_at", "words", "first_doc_id", "holders", "kept", "cuts")
 
 
 def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """All documents with their columns; of each repeated passage only the keeper's stays in its text."""
-    cut = repeats(docs, text, least_words).where("not kept and doc_id is not null")
-    spans = F.array_sort(F.collect_set(F.struct(F.col("start_at").alias("s"), F.lit(0).alias("k"), F.col("end_at").alias("e"), F.lit("").alias("m"))))
+    """All documents with their columns; of each repeated chunk only the keeper's stays in its text."""
+    cut = repeats(docs, text, least_words).where("not kept and doc_id is not null").select("doc_id", F.explode("cuts").alias("cut"))
+    spans = F.array_sort(F.collect_set(F.struct(F.col("cut.s").alias("s"), F.lit(0).alias("k"), F.col("cut.e").alias("e"), F.lit("").alias("m"))))
     spans = cut.groupBy("doc_id").agg(spans.alias("spans"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id").join(spans, "doc_id", "left")
     new = F.when(F.col("spans").isNull(), F.col(f"whole.`{text}`")).otherwise(rewrite(F.col(f"whole.`{text}`"), F.col("spans")))

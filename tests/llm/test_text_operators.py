@@ -286,3 +286,21 @@ def test_repeats_catch_what_windows_find(spark):
     want = set().union(*(v for v in seen.values() if len(v) > 1))
     got = {r["doc_id"] for r in chunks.repeats(docs).select("doc_id").distinct().collect()}
     assert want <= got
+
+
+def test_each_chunk_stays_with_its_smallest_holder(spark):
+    """Neighbouring passages with different first holders: each stays where it is first, and goes elsewhere."""
+    words = [hashlib.sha1(f"h{i}".encode()).hexdigest()[: 3 + i % 6] for i in range(1000)]
+    say = lambda a, n: " ".join(words[a : a + n])
+    data = np.frombuffer(say(0, 160).encode(), np.uint8)
+    middle = int(chunks.bounds(data, np.array([0, len(data)]))[10])  # passages meet at a bound
+    one, two = say(0, 160)[:middle], say(0, 160)[middle:]
+    docs = spark.createDataFrame([(1, f"{say(300, 40)} {one} {say(400, 40)}"), (2, one + two), (3, f"{say(600, 40)} {one[-40:]}{two} {say(700, 40)}")], "doc_id long, text string")
+    texts, clean = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, chunks.dedup(docs)))
+    assert [i for i in clean if one[150:250] in clean[i]] == [1] and [i for i in clean if two[150:250] in clean[i]] == [2]
+    held = defaultdict(set)
+    for r in chunks.chunks(docs).collect():
+        held[texts[r["doc_id"]][r["at"] >> 24 :][: r["at"] >> 12 & 0xFFF]].add(r["doc_id"])
+    assert all(chunk in clean[min(ids)] for chunk, ids in held.items())
+    rows = chunks.repeats(docs).collect()
+    assert {r["doc_id"]: len(r["holders"]) for r in rows}[2] == 2 and all(r["kept"] == (r["holders"] == [r["doc_id"]]) == (not r["cuts"]) for r in rows)
