@@ -2,7 +2,8 @@
 
 Each document expects e = target / size of its source copies.  The whole part of e is certain; for the rest documents are
 ranked by the odds of a random number divided by the odds of their inclusion, and the head of that ranking is taken until
-the source's words are full.  Ranks come from a histogram of the ranking key, so no task sees a whole source.
+the source's words are full; documents after it that fit into what is left are taken in rank order, until none fits.  Ranks
+come from a histogram of the ranking key, so no task sees a whole source.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; identical rows (same doc_id and
 text) stand or fall together; an empty table gives an empty result; other columns are carried by `mix` and never read.
@@ -19,10 +20,10 @@ from .common import staged, table, word_count
 
 #: Histogram cells of the ranking key in each source; tasks that rank see about size / CELLS documents of a source.
 CELLS = 4096
-#: Documents after the cut that are tried, in rank order, to fill what the cut leaves open.
+#: Documents after a cut that are tried one by one in a round; the next round cuts among those behind them that still fit.
 FILL = 64
-#: Up to so many sources the per-source decisions (at most FILL keys of 24 bytes each) are broadcast: 8 MB at most.
-BROADCAST_SOURCES = 5000
+#: Up to so many rounds of all sources (at most FILL keys of 24 bytes each) are broadcast: 8 MB at most.
+BROADCAST_ROUNDS = 5000
 
 
 def _key(source: str) -> Column:
@@ -61,58 +62,89 @@ def _rank(u: Column, rest: Column) -> Column:
     return F.when(rest > 0, x / (1 + x)).otherwise(F.lit(1.0))
 
 
-def plan(base: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per source: target, certain copies, inclusion odds, the rank key of the last document taken, and fillers after it."""
-    sources = source_targets(base.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = sources.withColumn("copies", F.floor(each).cast("long")).withColumn("rest", each - F.floor(each))
-    sources = staged(sources.withColumn("open", F.col("target") - F.col("copies") * F.col("source_size")).coalesce(1), "mix-sources")
-    ranked = base.join(sources.where("rest > 0").select("skey", "rest", "open"), "skey")
-    ranked = ranked.select("skey", "doc_id", "size", "open", _rank(F.col("u"), F.col("rest")).alias("v"))
-    cell = F.least(F.floor(F.col("v") * CELLS), F.lit(CELLS - 1)).cast("int")
-    ranked = ranked.withColumn("cell", cell)
+def _place() -> Column:
+    return F.struct("v", "doc_id", "size")
+
+
+def _cell(v: Column) -> Column:
+    return F.least(F.floor(v * CELLS), F.lit(CELLS - 1)).cast("int")
+
+
+def _round(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """state (skey, gap, after) -> (skey, gap, after, first_cell, last_place, fillers, left, tried) by source that has candidates.
+
+    Candidates lie behind `after` and fit into the gap alone.  Those before first_cell or up to last_place are taken, all of
+    them where first_cell is null, and so are the fillers; left is the gap then, tried the last document looked at.
+    """
+    rows = ranked.join(state, "skey").where((F.col("size") <= F.col("gap")) & (F.col("after").isNull() | ((_place() > F.col("after")) & (F.col("size") > 0))))
     upto = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = ranked.groupBy("skey", "cell").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("open").alias("open"))
+    cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("gap").alias("gap"))
     cells = cells.withColumn("sum_words", F.sum("words").over(upto)).withColumn("sum_n", F.sum("n").over(upto))
     cut = cells.groupBy("skey").agg(
-        F.min(F.when(F.col("sum_words") > F.col("open"), F.struct("cell", (F.col("sum_words") - F.col("words")).alias("before"), "sum_n"))).alias("c"),
+        F.min(F.when(F.col("sum_words") > F.col("gap"), F.struct("cell", (F.col("sum_words") - F.col("words")).alias("before"), "sum_n"))).alias("c"),
         F.sort_array(F.collect_list(F.struct("sum_n", "cell"))).alias("all"),
     )
     # The cells of the cut and of the next FILL documents.
     last = F.element_at(F.filter("all", lambda x: x["sum_n"] >= F.least(F.col("c.sum_n") + FILL, F.element_at("all", -1)["sum_n"])), 1)["cell"]
-    cut = cut.where("c is not null").select("skey", F.col("c.cell").alias("first_cell"), last.alias("last_cell"), F.col("c.before").alias("before"))
-    near = ranked.join(cut, "skey").where(F.col("cell").between(F.col("first_cell"), F.col("last_cell")))
-    near = near.groupBy("skey", "v", "doc_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"), F.first("open").alias("open"), F.first("before").alias("before"))
+    cut = staged(cut.select("skey", F.col("c.cell").alias("first_cell"), F.when(F.col("c").isNotNull(), last).alias("last_cell"), F.col("c.before").alias("before")).coalesce(1), "mix-cut")
+    near = rows.join(cut.where("first_cell is not null"), "skey").where(F.col("cell").between(F.col("first_cell"), F.col("last_cell")))
+    near = near.groupBy("skey", "v", "doc_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"), F.first("gap").alias("gap"), F.first("before").alias("before"))
     order = Window.partitionBy("skey").orderBy("v", F.col("doc_id").asc_nulls_first(), "size")
-    near = near.withColumn("rk", F.row_number().over(order)).withColumn("run", F.col("before") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn("head", F.col("run") <= F.col("open"))
-    whole = Window.partitionBy("skey")
-    near = near.withColumn("late", F.col("rk") - F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.struct("v", "doc_id", "size")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("rk", F.row_number().over(order)).withColumn("run", F.col("before") + F.sum("words").over(sofar))
+    near = near.withColumn("head", F.col("run") <= F.col("gap"))
+    near = near.withColumn("late", F.col("rk") - F.sum(F.col("head").cast("int")).over(sofar))
     cuts = near.groupBy("skey").agg(
-        F.first("open").alias("open_words"),
+        F.first("gap").alias("gap"),
         F.first("before").alias("before"),
-        F.max(F.when(F.col("head"), F.struct("rk", "run", place.alias("place")))).alias("head"),
-        F.sort_array(F.collect_list(F.when(~F.col("head") & (F.col("late") <= FILL), F.struct("rk", "words", place.alias("place"))))).alias("tail"),
+        F.max(F.when(F.col("head"), F.struct("rk", "run", _place().alias("place")))).alias("head"),
+        F.sort_array(F.collect_list(F.when(~F.col("head") & (F.col("late") <= FILL), F.struct("rk", "words", _place().alias("place"))))).alias("tail"),
     )
-    kind = near.select(place.alias("x")).schema["x"].dataType.simpleString()
-    start = F.struct((F.col("open_words") - F.coalesce(F.col("head.run"), F.col("before"))).cast("double").alias("gap"), F.array().cast(f"array<{kind}>").alias("got"))
+    kind = near.select(_place().alias("x")).schema["x"].dataType.simpleString()
+    start = F.struct((F.col("gap") - F.coalesce(F.col("head.run"), F.col("before"))).cast("double").alias("gap"), F.array().cast(f"array<{kind}>").alias("got"))
     fits = lambda a, x: F.struct((a["gap"] - x["words"]).alias("gap"), F.concat(a["got"], F.array(x["place"])).alias("got"))
     filled = F.aggregate("tail", start, lambda a, x: F.when(x["words"] <= a["gap"], fits(a, x)).otherwise(a))
-    cuts = cuts.select("skey", F.col("head.place").alias("last_place"), filled["got"].alias("fillers")).join(cut.select("skey", "first_cell"), "skey")
-    return staged(sources.join(cuts, "skey", "left").coalesce(1), "mix-plan")
+    cuts = cuts.select("skey", F.col("head.place").alias("last_place"), filled["got"].alias("fillers"), filled["gap"].alias("left"), F.element_at("tail", -1)["place"].alias("tried"))
+    found = state.join(cut.select("skey", "first_cell"), "skey").join(cuts, "skey", "left")
+    return staged(found.coalesce(1), "mix-round")
+
+
+def plan(base: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """Per source: target, certain copies, inclusion odds, and the rounds in which documents get one copy more."""
+    sources = source_targets(base.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sources = sources.withColumn("copies", F.floor(each).cast("long")).withColumn("rest", each - F.floor(each))
+    sources = staged(sources.withColumn("open", F.col("target") - F.col("copies") * F.col("source_size")).coalesce(1), "mix-sources")
+    ranked = base.join(sources.where("rest > 0").select("skey", "rest"), "skey")
+    ranked = ranked.select("skey", "doc_id", "size", _rank(F.col("u"), F.col("rest")).alias("v"))
+    kind = ranked.select(_place().alias("x")).schema["x"].dataType.simpleString()
+    ranked = ranked.withColumn("cell", _cell(F.col("v")))
+    state = sources.where("rest > 0").select("skey", F.col("open").cast("double").alias("gap"), F.lit(None).cast(kind).alias("after"))
+    rounds = None
+    while True:  # each round ends behind where it began, and only sources with a document that fits go on
+        found = _round(ranked, state)
+        rounds = found if rounds is None else rounds.unionByName(found)
+        state = found.where("tried is not null and left >= 1").select("skey", F.col("left").alias("gap"), F.col("tried").alias("after"))
+        if state.isEmpty():
+            break
+    rounds = rounds.groupBy("skey").agg(F.collect_list(F.struct("gap", "after", "first_cell", "last_place", "fillers")).alias("rounds"))
+    return staged(sources.join(rounds, "skey", "left").coalesce(1), "mix-plan")
 
 
 def _copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows with skey, doc_id, size and u get source_size, target and copies."""
-    small = decided.count() <= BROADCAST_SOURCES
+    small = (decided.agg(F.sum(F.greatest(F.size("rounds"), F.lit(1)))).first()[0] or 0) <= BROADCAST_ROUNDS
     rows = rows.join(F.broadcast(decided) if small else decided, "skey")
     v = _rank(F.col("u"), F.col("rest"))
     place = F.struct(v.alias("v"), F.col("doc_id"), F.col("size"))
-    cell = F.least(F.floor(v * CELLS), F.lit(CELLS - 1))
     falls = lambda c: F.coalesce(c, F.lit(False))
-    taken = F.col("first_cell").isNull() | (cell < F.col("first_cell")) | falls(place <= F.col("last_place")) | falls(F.array_contains("fillers", place))
-    return rows.withColumn("copies", F.col("copies") + F.when((F.col("rest") > 0) & taken, 1).otherwise(0))
+
+    def taken(x: Column) -> Column:
+        candidate = (F.col("size") <= x["gap"]) & (x["after"].isNull() | ((place > x["after"]) & (F.col("size") > 0)))
+        return candidate & (x["first_cell"].isNull() | (_cell(v) < x["first_cell"]) | falls(place <= x["last_place"]) | falls(F.array_contains(x["fillers"], place)))
+
+    more = falls(F.exists("rounds", taken))
+    return rows.withColumn("copies", F.col("copies") + F.when((F.col("rest") > 0) & more, 1).otherwise(0))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:

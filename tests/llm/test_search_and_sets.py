@@ -231,6 +231,28 @@ def test_mixing_at_its_edges(spark):
     assert mixing.mixture(none).count() == mixing.mix(none).count() == 0
 
 
+def test_a_long_document_on_the_cut_leaves_no_gap(spark):
+    """Short documents behind a long one that doesn't fit fill the source, as in a plain walk over all of them."""
+    rows = [(i, "a b c d e", "en", "s", 0) for i in range(3000)] + [(4000 + i, "w " * 900, "en", "s", 0) for i in range(12)]
+    rows += [(7000, "x y z", "en", "s", 0)] * 4 + [(None, "no id", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for seed in (1, 2, 3):
+        base = mixing._sized(docs, "source", "text", seed)
+        plan = mixing.plan(mixing.staged(base, "t"), (1,), 0.25).first()
+        groups = defaultdict(int)
+        for r in base.collect():
+            x = r["u"] / (1 - r["u"]) * (1 - plan["rest"]) / plan["rest"]
+            groups[x / (1 + x), r["doc_id"] if r["doc_id"] is not None else -1, r["size"]] += r["size"]
+        gap, want = plan["open"], set()
+        for (v, d, n), words in sorted(groups.items()):
+            if words <= gap:
+                gap -= words
+                want.add(d)
+        out = mixing.mixture(docs, (1,), 0.25, seed=seed).collect()
+        assert {-1 if r["doc_id"] is None else r["doc_id"] for r in out if r["copies"]} == want
+        assert plan["target"] - sum(r["taken"] for r in out) == pytest.approx(gap) and gap < 5
+
+
 # Components and the pipeline
 
 
