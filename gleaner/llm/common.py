@@ -26,13 +26,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def pieces(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<s,e,m>>: code-point start, end (exclusive) and text.
 
     split() and regexp_extract_all() walk the same matches, so the gaps give the positions.
     """
     gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     walk = F.aggregate(
         both,

@@ -1,9 +1,9 @@
 """Personal data: detection and information-theoretic sanitisation (native).
 
 Detected values are the protected entities.  Over the whole corpus, the co-occurrence of a term with an entity estimates how
-strongly the term reveals it: PMI(t; e) = log2(p(t, e) / (p(t) p(e))), with document frequencies for p.  A term in an
-entity's context whose PMI reaches REMOVE x IC(e), IC(e) = -log2 p(e), is removed; from GENERALISE x IC(e) on it is
-replaced by its class.  Pairs seen in fewer than SUPPORT documents estimate nothing and are left alone.
+strongly the term reveals it: PMI(t; e) = log2(p(t, e) / (p(t) p(e))), with document frequencies for p; the context of an
+entity is the whole text.  A term whose PMI with any entity reaches REMOVE x IC(e), IC(e) = -log2 p(e), is removed wherever it
+stands, in texts without the entity too; from GENERALISE x IC(e) on it is replaced by its class.  Pairs seen in fewer than SUPPORT documents estimate nothing and are left alone.
 
 Defined results: null or empty text has no spans (a null text stays null when sanitised); each row counts as one document,
 repeated rows included, and gives one result; null doc_id is carried; an empty table gives an empty result; other columns
@@ -27,10 +27,10 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{0,2})"
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A term: a run of letters; shorter ones are function words.
 TERM = r"(?<!\p{L})\p{L}{4,}+"
-#: Code points on either side of a mention that count as its context.
-CONTEXT = 80
-#: Most mentions that can touch a context (the shortest, an ip, has seven code points).
-TOUCH = CONTEXT // 7 + 1
+#: Stands for each code point of a mention while terms are looked for; a noncharacter, which texts don't interchange.
+MASK = "\uffff"
+#: A term of a masked text: one that a mention touches is none.
+FREE = rf"(?<![\p{{L}}{MASK}])\p{{L}}{{4,}}+(?!{MASK})"
 SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.75
 
@@ -68,51 +68,62 @@ def _entity(x: Column) -> Column:
     return F.xxhash64(x["k"], F.when(x["k"] == 0, F.lower(x["m"])).when(x["k"] == 1, x["m"]).otherwise(F.regexp_replace(x["m"], "[^0-9]", "")))
 
 
-def _context(text: Column, found: Column) -> Column:
-    """Terms near each mention, outside all mentions: array<struct<ent,term,s,e>>."""
+def _masked(text: Column, found: Column) -> Column:
+    """text with as many MASKs in the place of each mention."""
+    text = F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    begin = lambda a, x: F.greatest(a["at"], x["s"])
+    part = lambda a, x: F.array(F.substring(text, a["at"] + 1, begin(a, x) - a["at"]), F.repeat(F.lit(MASK), x["e"] - begin(a, x)))
+    walk = F.aggregate(found, start, lambda a, x: F.when(x["e"] > a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], part(a, x)).alias("out"))).otherwise(a))
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(walk["out"], ""), F.substring(text, walk["at"] + 1, F.length(text))))
 
-    def terms(x: Column, i: Column) -> Column:
-        left = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        before, after = F.substring(text, left + 1, x["s"] - left), F.substring(text, x["e"] + 1, F.lit(CONTEXT))
-        # A word that the edge of the context cuts is no term.
-        a = F.filter(pieces(before, TERM), lambda t: (t["s"] > 0) | (left == 0))
-        b = F.filter(pieces(after, TERM), lambda t: t["e"] < CONTEXT)
-        at = lambda rows, base: F.transform(rows, lambda t: F.struct(_entity(x).alias("ent"), F.xxhash64(F.lower(t["m"])).alias("term"), (t["s"] + base).alias("s"), (t["e"] + base).alias("e")))
-        near = F.slice(found, F.greatest(i - TOUCH + 1, F.lit(1)), F.lit(2 * TOUCH + 1))
-        return F.filter(F.concat(at(a, left), at(b, x["e"])), lambda t: ~F.exists(near, lambda p: (p["s"] < t["e"]) & (t["s"] < p["e"])))
 
-    return F.flatten(F.transform(found, terms))
+def _mentions(docs: DataFrame, text: str, keep: bool) -> DataFrame:
+    """Every row with its mentions and its text, t; keep: and with all its columns."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")] if keep else [F.col(text).alias("t")]
+    rows = docs.select("doc_id", spans(F.col(text)).alias("spans"), *whole)
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), *rows.columns), "pii-mentions")
+    return rows.withColumn("t", F.col(f"whole.`{text}`")) if keep else rows
 
 
-def _mentions(docs: DataFrame, text: str, keep: bool) -> DataFrame:
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")] if keep else []
-    rows = docs.select("doc_id", F.col(text).alias("t"), spans(F.col(text)).alias("spans"), *whole)
-    rows = rows.where(F.size("spans") > 0) if keep else rows
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", _context(F.col("t"), F.col("spans")).alias("terms"), *(["whole"] if keep else []))
-    return staged(rows, "pii-mentions")
+def _words(mentions: DataFrame, of: Column) -> DataFrame:
+    """(row, word, term): the distinct forms of words in `of`, and the numbers of their terms."""
+    return mentions.select("row", F.explode(F.array_distinct(of)).alias("word")).withColumn("term", F.xxhash64(F.lower("word")))
 
 
-def disclosure(mentions: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def disclosure(mentions: DataFrame) -> DataFrame:
     """(ent, term, level): the terms that reveal an entity; level 1 is generalised, 2 removed."""
-    each = lambda c, f: mentions.select(F.explode(F.array_distinct(F.transform(c, f))).alias("x"))
-    pairs = each("terms", lambda x: F.struct(x["ent"], x["term"])).groupBy("x.ent", "x.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    ents = each("spans", _entity).groupBy(F.col("x").alias("ent")).agg(F.count(F.lit(1)).alias("n_ent"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(docs.count()))
-    known = pairs.join(ents, "ent").join(terms, "term")
+    n = F.lit(float(mentions.count()))
+    ents = mentions.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("ent"))
+    often = staged(ents.groupBy("ent").agg(F.count(F.lit(1)).alias("n_ent")).where(F.col("n_ent") >= SUPPORT), "pii-entities")
+    ents = staged(ents.join(often, "ent"), "pii-places")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("t")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    terms = mentions.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # PMI reaches GENERALISE x IC only if n_term <= n_ent (n / n_ent) ** (1 - GENERALISE), as both <= n_ent; a little slack for rounding.
+    most = lambda c: c * F.pow(n / c, F.lit(1 - GENERALISE)) * 1.000001
+    top = often.agg(F.max(most(F.col("n_ent"))).alias("top"))
+    terms = terms.where(F.col("n_term") >= SUPPORT).crossJoin(F.broadcast(top)).where(F.col("n_term") <= F.col("top")).drop("top")
+    texts = mentions.join(ents.select("row").distinct(), "row", "left_semi")
+    here = _words(texts, F.regexp_extract_all(_masked(F.col("t"), F.col("spans")), F.lit(FREE), F.lit(0))).select("row", "term").distinct().join(terms, "term")
+    pairs = ents.join(here, "row").where(F.col("n_term") <= most(F.col("n_ent")))
+    pairs = pairs.groupBy("ent", "term", "n_ent", "n_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     ic = F.log2(n / F.col("n_ent"))
     share = F.when(ic > 0, F.log2(F.col("both") * n / (F.col("n_ent") * F.greatest("n_term", "both"))) / ic)
-    return known.select("ent", "term", F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1).alias("level")).where("level is not null")
+    return pairs.select("ent", "term", F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1).alias("level")).where("level is not null")
 
 
-def _revealing(mentions: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """row -> more: the term spans of each row, as array<struct<s,k,e,m>>; m is the replacement."""
-    near = mentions.select("row", F.explode("terms").alias("x")).select("row", "x.*")
-    hits = near.join(disclosure(mentions, docs, text), ["ent", "term"])
-    span = F.struct("s", F.lit(4).alias("k"), "e", F.when(F.col("level") == 2, "").otherwise("[TERM]").alias("m"))
-    # One row per span, at its strictest level: "" sorts before "[TERM]".
-    return hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("more"))
+def _revealing(mentions: DataFrame) -> DataFrame:
+    """row -> more: the spans of revealing terms in each row, as array<struct<s,k,e,m>>; m is the replacement."""
+    levels = staged(disclosure(mentions).groupBy("term").agg(F.max("level").alias("level")), "pii-terms")
+    masked = _masked(F.col("t"), F.col("spans"))
+    hits = _words(mentions, F.regexp_extract_all(masked, F.lit(FREE), F.lit(0))).join(levels, "term")
+    hits = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "level"))).alias("hits"))
+    # Words are letters only, so they are patterns of themselves.
+    pattern = F.concat(F.lit(rf"(?<![\p{{L}}{MASK}])(?:"), F.array_join(F.map_keys("hits"), "|"), F.lit(rf")(?![\p{{L}}{MASK}])"))
+    rows = mentions.select("row", masked.alias("t")).join(hits, "row").withColumn("pattern", pattern)
+    new = lambda x: F.when(F.element_at("hits", x["m"]) == 2, "").otherwise("[TERM]")
+    more = F.transform(pieces(F.col("t"), F.col("pattern")), lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), new(x).alias("m")))
+    return rows.select("row", more.alias("more"))
 
 
 def _list(rows: Column) -> Column:
@@ -125,7 +136,7 @@ def _list(rows: Column) -> Column:
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document row: counts and digest of the detected spans, and all spans with the revealing terms."""
     mentions = _mentions(docs, text, keep=False)
-    all_ = mentions.select("row", "doc_id", "spans").join(_revealing(mentions, docs, text), "row", "left")
+    all_ = mentions.select("row", "doc_id", "spans").join(_revealing(mentions), "row", "left")
     n = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
     return all_.select(
         "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
@@ -138,12 +149,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """All documents with their columns; personal data replaced by its kind in brackets, revealing terms generalised or removed."""
     mentions = _mentions(docs, text, keep=True)
-    rows = mentions.select("row", "spans", "whole").join(_revealing(mentions.select("row", "spans", "terms"), docs, text), "row", "left")
+    rows = mentions.select("row", "spans", "whole").join(_revealing(mentions.select("row", "spans", "t")), "row", "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("m")))
     new = rewrite(F.col(f"whole.`{text}`"), F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(_SPANS)))))
-    changed = rows.select(F.col("whole").withField(f"`{text}`", new).alias("whole")).select("whole.*")
-    return docs.where(F.size(spans(F.col(text))) == 0).unionByName(changed)
+    return rows.select(F.col("whole").withField(f"`{text}`", new).alias("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,16 @@ def test_revealing_terms_are_removed_and_common_ones_stay(spark):
     assert len(clean) == 44 and clean[0]["text"] == "please contact  at [EMAIL] today 0" and clean[10]["text"] == rows[4][1] and clean[0]["term"] == 7
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    far = " or others today" * 20
+    rows = [(i, f"Zorblax wrote{far} to zed@corp.example {i}") for i in range(4)] + [(8, "ask zorblax today"), (9, None)] + [(10 + i, "somebody wrote or asked others today") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(rows) and clean[9] is None and clean[10] == rows[6][1]
+    assert clean[0] == f" wrote{far} to [EMAIL] 0" and clean[8] == "ask  today"
+    assert {r["doc_id"]: r["n_term"] for r in pii.find(docs).collect()}[8] == 1
+
+
 def test_sanitise_keeps_rows_and_columns(edges, empty):
     out = pii.sanitise(edges)
     assert out.columns == edges.columns and out.count() == len(EDGES) and pii.sanitise(empty).count() == 0 and pii.find(empty).count() == secrets.scan(empty).count() == 0
