@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_keys, spread_join, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,18 +13,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of that label, so chains halve and a round
     costs two joins on the edges.  Labels are written to the shared folder after each round; a hub's neighbours are
-    combined before the shuffle.  No edge or label reaches the driver.
+    combined before the shuffle, and its edges and the nodes of a large component's label are dealt over tasks.  No edge
+    or label reaches the driver.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
     both = staged(both, "cc-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "cc-labels")
+    degrees = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")), "cc-degrees")
+    hubs = hot_keys(degrees, ["node"]).withColumnRenamed("node", "b")
+    labels = degrees.select("node", F.least("node", "least").alias("root"))
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], hubs, F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "least").alias("root"))
         step = staged(step, "cc-step")
         # The label of the label: labels are nodes, so every one has a row.
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = staged(step.join(jump, "root").select("node", "old", F.least("root", "further").alias("root")), "cc-labels")
+        large = hot_keys(step.groupBy("root").agg(F.count(F.lit(1)).alias("n")), ["root"])
+        new = staged(spread_join(step, jump, ["root"], large, F.col("node")).select("node", "old", F.least("root", "further").alias("root")), "cc-labels")
         if new.where("old <> root").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -8,60 +8,93 @@ own cell and those one step away (a range join).  In a cell, the full embeddings
 Equal fingerprints are one class before that, so exact copies cost nothing.  Cells emit the edges of a spanning forest of
 their links, not the links, so a group of near copies stays linear; the components of these edges are those of all links.
 
+`representatives` keeps one document of each group whose five-word shingles are alike by 0.8 (Jaccard).  It looks for
+candidates by fingerprints of two-word shingles, which an edit changes less, in a grid of three thirds (so all pairs within 8
+bits meet, and most within 12), and verifies them exactly on the five-word shingles.  Each row of a cell tries its nearest
+few; what hangs together where a row has more is a crowd, dealt into blocks that meet in pairs, each in a task of its own.
+
 Defined results: null and empty text, or text without words, has fingerprint zero and is linked like any other; every row
 gives a result, repeated ones too; null doc_id is carried, and is a component_id only where no document has an id; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read.  `representatives` treats rows, not doc_ids: rows that share a
+doc_id and no text are documents of their own; rows without a doc_id all stay; texts are told apart by 64 bits of their
+digest; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import hot_keys, spread_join, staged, table
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+#: The grid of `links`: halves, as segments from and to.
+HALVES = ((0, 16), (16, 32))
+#: What `representatives` calls alike: Jaccard similarity of the sets of so many words.
+ALIKE, ALIKE_SHINGLE = 0.8, 5
+#: Its candidates: words of a fingerprint's shingles, grid, most bits, and how many a row tries in a cell at first.
+NEAR_SHINGLE, THIRDS, NEAR_BITS, NEAREST = 2, ((0, 11), (11, 22), (22, 32)), 12, 4
+#: Most bits between fingerprints of the five-word shingles; 0.8 means 10 bits of 64 there, with a deviation of 3.
+CHECK_BITS = 18
+#: Shingles of a block of a crowd; a task holds two.
+TILE = 1 << 20
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are summed at a time (64 bytes each).
 _BLOCK = 1 << 16
-#: Rows compared at a time in a crowded cell.
-_TILE = 2048
+#: Pairs held before they are thinned out.
+_HELD = 1 << 18
 _PAIR = np.uint64(0x5555555555555555)
-_LOW = np.uint64(0x3333333333333333)
 
 
-def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash over all shingles, repeats included."""
-    words = _WORDS.findall((text.encode() if isinstance(text, str) else text or b"").translate(_LOWER))
+def _words(text: str | bytes | None) -> list[bytes]:
+    return _WORDS.findall((text.encode() if isinstance(text, str) else text or b"").translate(_LOWER))
+
+
+def _hashes(words: list[bytes], shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles in order, a block at a time; of fewer words, of the whole sequence; of none, nothing."""
     if not words:
-        return 0
+        return
     line = memoryview(b" ".join(words))
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    hashed, seed = xxhash.xxh64_intdigest, SEED
-    ones = np.zeros(64, np.int64)
+    hashed = xxhash.xxh64_intdigest
     for i in range(0, n, _BLOCK):
-        h = np.fromiter([hashed(line[a:b], seed) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK], strict=True)], ">u8")
-        ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        yield np.fromiter([hashed(line[a:b], seed) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK], strict=True)], np.uint64)
+
+
+def _simhash(hashes: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash over all shingles, repeats included."""
+    return _simhash(_hashes(_words(text), shingle))
+
+
+def _signed(values: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), _signed(got)], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,28 +114,59 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint at its own cell and at those one step away, in both halves."""
+def _cells(parts: tuple[tuple[int, int], ...]):
+    """Each row at its fingerprint's own cell and at those one step away, in all parts; the other columns go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            c, row = _counts(fp), np.arange(len(fp), dtype=np.int32)
+            for part, (first, last) in enumerate(parts):
+                own = (c >> np.uint64(2 * first)) & np.uint64((1 << 2 * (last - first)) - 1)
+                keys, who = [own], [row]
+                for seg in range(last - first):
+                    one = np.uint64(1 << (2 * seg))
+                    v = (own >> np.uint64(2 * seg)) & np.uint64(3)
+                    keys += [own[v < 2] + one, own[v > 0] - one]
+                    who += [row[v < 2], row[v > 0]]
+                key, at = np.concatenate(keys).astype(np.int64) * len(parts) + part, pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[x.take(at) for x in b.columns]], ["cell", *b.schema.names])
+
+    return run
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Batches sorted by cell, as columns of whole cells: the last cell of a batch waits for the next one."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
-        fp = b.column(0).to_numpy().view(np.uint64)
-        c = _counts(fp)
-        for half in (0, 1):
-            own = (c >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-            keys, who = [own], [fp]
-            for seg in range(16):
-                one = np.uint64(1 << (2 * seg))
-                v = (own >> np.uint64(2 * seg)) & np.uint64(3)
-                keys += [own[v < 2] + one, own[v > 0] - one]
-                who += [fp[v < 2], fp[v > 0]]
-            key = np.concatenate(keys).astype(np.int64) * 2 + half
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(who).view(np.int64))], ["cell", "fp"])
-
-
-def _find(up: np.ndarray, i: int) -> int:
-    while up[i] != i:
-        up[i] = up[up[i]]
-        i = up[i]
-    return i
+        if not b.num_rows:
+            continue
+        cols = [x.to_numpy() for x in b.columns]
+        cell = cols[0]
+        if held and cell[-1] == held[0][0][0]:
+            held.append(cols)
+            continue
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if held or cut:
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in cols], strict=True)]
+        held = [[x[cut:] for x in cols]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _meetings(cell: np.ndarray, size: np.ndarray | None = None, alike: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of a cell, by the distance of the rows; with sizes (rising in a cell), only where they can be alike."""
+    i, d = np.arange(len(cell)), 1
+    while True:
+        i = i[: np.searchsorted(i, len(cell) - d)]
+        on = cell[i + d] == cell[i]
+        if size is not None:
+            on &= size[i] >= alike * size[i + d]
+        i = i[on]
+        if not len(i):
+            return
+        yield i, i + d
+        d += 1
 
 
 def _linked(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -111,95 +175,211 @@ def _linked(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return near
 
 
-def _crowded(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spanning forest of one cell's links, tile by tile."""
-    up, out = np.arange(len(fp)), []
-    for i in range(0, len(fp), _TILE):
-        for j in range(i, len(fp), _TILE):
-            for r in range(i, min(i + _TILE, len(fp))):
-                lo = max(j, r + 1)
-                for k in np.flatnonzero(_linked(np.broadcast_to(fp[r], fp[lo : j + _TILE].shape), fp[lo : j + _TILE], most)) + lo:
-                    a, b = _find(up, r), _find(up, k)
-                    if a != b:
-                        up[max(a, b)] = min(a, b)
-                        out.append((r, k))
-    return out
+class _Forest:
+    """Spanning forest of links between nodes 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up, self.a, self.b = np.arange(n), [], []
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(root := self.up[self.up], self.up):
+            self.up = root
+        return root
+
+    def _find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        step = 64
+        while len(a):
+            root = self.roots()
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            for x, y in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
+                p, q = self._find(x), self._find(y)
+                if p != q:
+                    self.up[max(p, q)] = min(p, q)
+                    self.a.append(x)
+                    self.b.append(y)
+            a, b, step = a[step:], b[step:], 2 * step
 
 
 def _forest(most: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by cell; whole cells are worked on, the last one of a batch waits for the next."""
-        kept_c, kept_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def edges(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.empty(0, np.int64)
-            size = np.diff(np.append(first, len(c)))
-            small = np.repeat(size <= 32, size)
-            for d in range(1, 32):  # small cells: all at once, by the distance of the rows
-                at = np.flatnonzero(small[:-d] & (c[d:] == c[:-d]))
-                if not len(at):
-                    break
-                at = at[_linked(f[at], f[at + d], most)]
-                a.append(f[at])
-                b.append(f[at + d])
-            for s, n in zip(first[size > 32], size[size > 32], strict=True):
-                for r, k in _crowded(f[s : s + n], most):
-                    a.append(f[s + r : s + r + 1])
-                    b.append(f[s + k : s + k + 1])
-            x, y = (np.concatenate(z) if z else np.empty(0, np.uint64) for z in (a, b))
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.empty((2, 0), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            c = np.concatenate([kept_c, batch.column(0).to_numpy()])
-            f = np.concatenate([kept_f, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(c):
-                continue
-            cut = int(np.searchsorted(c, c[-1]))
-            kept_c, kept_f = c[cut:], f[cut:]
-            if cut:
-                yield edges(c[:cut], f[:cut])
-        if len(kept_c):
-            yield edges(kept_c, kept_f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, fp in _whole_cells(batches):
+            fp = fp.view(np.uint64)
+            names, node = np.unique(fp, return_inverse=True)
+            forest = _Forest(len(names))
+            for i, j in _meetings(cell):
+                on = _linked(fp[i], fp[j], most)
+                forest.add(node[i[on]], node[j[on]])
+            yield pa.RecordBatch.from_arrays([_signed(names[np.array(x, np.int64)]) for x in (forest.a, forest.b)], ["a", "b"])
 
-    return of
+    return run
 
 
 def links(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
     """(fp) distinct -> (a, b): edges that connect exactly the fingerprints that links of at most `most` bits connect."""
     if most > 4:
         raise ValueError("the grid's reach of one step on both sides covers at most 4 bits")
-    cells = distinct.select("fp").mapInArrow(_cells, "cell long, fp long")
+    cells = distinct.select("fp").mapInArrow(_cells(HALVES), "cell long, fp long")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forest(most), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", most: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
-    return _classes(staged(fingerprints(docs, text), "simhash-fps"), most)
-
-
-def _classes(fps: DataFrame, most: int) -> DataFrame:
-    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    fps = staged(fingerprints(docs, text), "simhash-fps")
+    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = components(links(classes, most))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = staged(named.join(ids, "root").select("fp", "component_id"), "simhash-components")
-    return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(named, "simhash-roots")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    component = spread_join(named, ids.select("root", "component_id"), ["root"], hot_keys(ids, ["root"]), F.col("fp"))
+    component = staged(component.select("fp", "component_id"), "simhash-components")
+    out = spread_join(fps, component, ["fp"], hot_keys(classes, ["fp"]), F.col("doc_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# One document of each group of texts that are alike
+
+
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the five-word shingles."""
+    return np.unique(np.concatenate([*_hashes(words, ALIKE_SHINGLE), np.empty(0, np.uint64)]))
 
 
-def representatives(docs: DataFrame, text: str = "text", most: int = DISTANCE) -> DataFrame:
-    """The documents, one row of each component: the one with the smallest doc_id.
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, ...) -> (..., node, fp, check, size): digest, fingerprints of two- and five-word shingles, distinct of the latter."""
+    for b in batches:
+        got = []
+        for x in b.column(0).cast(pa.binary()):
+            words = _words(x.as_buffer().to_pybytes() if x.is_valid else b"")
+            five = _shingles(words)
+            got.append((xxhash.xxh3_64_intdigest(b" ".join(words)), _simhash(_hashes(words, NEAR_SHINGLE)), _simhash([five]), len(five)))
+        node, fp, check, size = zip(*got, strict=True) if got else ([], [], [], [])
+        cols = [*b.columns[1:], _signed(node), _signed(fp), _signed(check), pa.array(size, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[1:], "node", "fp", "check", "size"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [_shingles(_words(x.as_buffer().to_pybytes() if x.is_valid else b"")).view(np.int64) for x in b.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "set"])
+
 
-    Rows that repeat this doc_id count as one document, of which any one row stays; rows without a doc_id can't be told
-    apart and all stay.
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells, by size -> (a, b, crowd): candidates, each row's NEAREST, and a forest of the candidates in crowds.
+
+    A crowd is what hangs together in a cell where a row has more candidates than that.
+    """
+
+    def thin(row: np.ndarray, other: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((other, bits, row))
+        row, other, bits = row[order], other[order], bits[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        worst[row[nth == NEAREST - 1]] = bits[nth == NEAREST - 1]
+        return row[nth < NEAREST], other[nth < NEAREST], bits[nth < NEAREST]
+
+    for cell, node, fp, check, size in _whole_cells(batches):
+        fp, check = fp.view(np.uint64), check.view(np.uint64)
+        many, worst = np.zeros(len(cell), np.int64), np.full(len(cell), 65)
+        forest, held, n = _Forest(len(cell)), [], 0
+        for i, j in _meetings(cell, size, ALIKE):
+            bits = np.bitwise_count(fp[i] ^ fp[j])
+            on = np.flatnonzero(bits <= NEAR_BITS)
+            on = on[np.bitwise_count(check[i[on]] ^ check[j[on]]) <= CHECK_BITS]
+            if not len(on):
+                continue
+            i, j, bits = i[on], j[on], bits[on]
+            many[i] += 1
+            many[j] += 1
+            forest.add(i, j)
+            for x, y in ((i, j), (j, i)):
+                on = bits < worst[x]
+                held.append((x[on], y[on], bits[on]))
+                n += len(held[-1][0])
+            if n > _HELD:
+                held = [thin(*map(np.concatenate, zip(*held, strict=True)))]
+                n = 0
+        if not held:
+            continue
+        row, other, _ = thin(*map(np.concatenate, zip(*held, strict=True)))
+        a, b = np.array(forest.a), np.array(forest.b)
+        root = forest.roots()
+        crowded = np.isin(root[a], root[many > NEAREST])
+        x, y = np.concatenate([row, a[crowded]]), np.concatenate([other, b[crowded]])
+        crowd = np.repeat([False, True], [len(row), int(crowded.sum())])
+        x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(crowd)], ["a", "b", "crowd"])
+
+
+def _tile(rows: pa.Table) -> pa.Table:
+    """Two blocks of a crowd, lo and hi -> spanning forest of the alike pairs between them (or within, where they are one)."""
+    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    sets = rows["set"].combine_chunks()
+    at = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+    size = np.diff(at)
+    token = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    holder = np.repeat(np.arange(len(node)), size)[order]
+    first = np.append(np.flatnonzero(np.concatenate(([True], np.diff(token[order]) > 0))), len(order))
+    lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+    forest, other = _Forest(len(node)), np.flatnonzero(block == hi)
+    for i in np.flatnonzero(block == lo).tolist():
+        held = [holder[first[t] : first[t + 1]] for t in token[at[i] : at[i + 1]].tolist()]
+        both = np.bincount(np.concatenate(held), minlength=len(node))[other]
+        j = other[both >= ALIKE * (size[i] + size[other] - both)]
+        forest.add(np.full(len(j), i), j)
+    return pa.table({"a": node[np.array(forest.a, int)], "b": node[np.array(forest.b, int)]})
+
+
+def alike(texts: DataFrame, sets) -> DataFrame:
+    """(node, fp, check, size) distinct -> (a, b): verified pairs that connect what all verified candidates connect.
+
+    sets(nodes) gives (node, set) of those nodes.
     """
-    found = near_duplicates(docs, text, most)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = kept.withColumn("nth", first).where("nth = 1").select("whole.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    cells = texts.select("node", "fp", "check", "size").mapInArrow(_cells(THIRDS), "cell long, node long, fp long, check long, size int")
+    found = cells.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(_nearest, "a long, b long, crowd boolean")
+    found = staged(found.distinct(), "near-candidates")
+    held = staged(sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-sets")
+    pairs = found.where("not crowd")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
+    good = staged(both.where(F.col("n") >= ALIKE * (F.col("sum") - F.col("n"))).select("a", "b"), "near-alike")
+    crowds = found.where("crowd")
+    if crowds.isEmpty():
+        return good
+    members = staged(components(crowds).join(held, "node"), "near-crowds")
+    blocks = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(F.size("set")) / TILE).cast("int").alias("blocks"))
+    members = spread_join(members, blocks.select("root", "blocks"), ["root"], hot_keys(blocks, ["root"]), F.col("node"))
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    tiles = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "block", "set")
+    return good.unionByName(tiles.groupBy("root", "lo", "hi").applyInArrow(_tile, "a long, b long"))
+
+
+def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, one row of each group of alike texts: the one with the smallest doc_id."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.where("doc_id is not null").select(F.col(f"`{text}`").alias("text"), whole, F.monotonically_increasing_id().alias("row"))
+    kept = rows.drop("text").schema.add("node", "long").add("fp", "long").add("check", "long").add("size", "integer")
+    rows = staged(rows.mapInArrow(_texts, kept), "near-texts")
+    order = F.struct(F.col("whole.doc_id").alias("id"), F.xxhash64(F.col(f"whole.`{text}`")).alias("h"), "row")
+    texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.first("size").alias("size"), F.min(order).alias("best"))
+    texts = staged(texts, "near-classes")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        chosen = texts.join(nodes, "node").select(F.col("best.row").alias("row"))
+        return rows.join(chosen, "row", "left_semi").select("node", F.col(f"whole.`{text}`").alias("text")).mapInArrow(_sets, "node long, set array<long>")
+
+    roots = components(alike(texts, sets))
+    best = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,78 @@ def test_simhash_at_its_edges(spark):
     assert simhash.near_duplicates(none).count() == simhash.representatives(none).count() == 0
 
 
+def five_word_shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike_components(texts, least=0.8):
+    """{key: text} -> {key: least key linked by equal words or five-word Jaccard of `least` or more}, by all pairs."""
+    sets = {k: five_word_shingles(t) for k, t in texts.items()}
+    keys, up = sorted(sets), {k: k for k in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = defaultdict(list)
+    for k in keys:
+        for s in sets[k] or [""]:
+            holders[s].append(k)
+    tried = set()
+    for same in holders.values():
+        for n, j in enumerate(same):
+            for i in same[:n]:
+                if (i, j) not in tried:
+                    tried.add((i, j))
+                    a, b = sets[i], sets[j]
+                    if a == b or len(a & b) >= least * len(a | b):
+                        x, y = find(i), find(j)
+                        up[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_representatives_leave_one_of_each_alike_group(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = alike_components({r["doc_id"]: r["text"] for r in docs.collect()})
+    kept = [r["doc_id"] for r in simhash.representatives(docs).select("doc_id").collect()]
+    groups = defaultdict(list)
+    for d in kept:
+        groups[want[d]].append(d)
+    assert len(kept) == len(set(kept)) and set(groups) == set(want.values()) and all(min(v) == g for g, v in groups.items())
+    extra = len(kept) - len(groups)  # groups that the fingerprints did not connect
+    assert extra <= 0.05 * (len(want) - len(groups))
+
+
+def edited(words, n, rng):
+    w = list(words)
+    for i in rng.choice(len(w), n, replace=False):
+        w[i] = f"new{rng.integers(1 << 30)}"
+    return " ".join(w)
+
+
+def test_representatives_in_a_crowd(spark, monkeypatch):
+    """Many near copies of one text, some alike and some not, over several blocks: as by all pairs."""
+    rng = np.random.default_rng(6)
+    base = [f"w{rng.integers(1 << 30)}" for _ in range(300)]
+    texts = {i: edited(base, int(rng.integers(0, 14)), rng) for i in range(120)} | {500 + i: edited(base, 40, rng) for i in range(20)}
+    monkeypatch.setattr(simhash, "TILE", 8000)
+    kept = [r["doc_id"] for r in simhash.representatives(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    want = alike_components(texts)
+    assert sorted(kept) == sorted(set(want.values()))
+    assert 20 < len(kept) < 120
+
+
+def test_representatives_go_by_row(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a, 1, 2), (5, a, 1, 2), (5, b, 1, 2), (7, b + " thirteen " * 30, 1, 2), (8, "w " * 300_000, 1, 2), (9, "w  " * 300_000, 1, 2), (None, a, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, row int")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in kept.collect()) == [(0, "one "), (3, "one "), (5, "seve"), (7, "seve"), (8, "w w ")]
+
+
 # Mixing
 
 
