@@ -1,7 +1,7 @@
 """Secret scan by multipart credential linking (native).
 
-Three base detectors find strong spans.  Weak parts - identifiers, unlabelled high-entropy strings, endpoints - mean nothing
-alone: an interval join pairs each with the nearest complementary part within SCOPE code points of the same document, and
+Three base detectors find strong spans.  Weak parts - labelled identifiers, mail addresses, unlabelled high-entropy strings,
+URLs, ip addresses - mean nothing alone: an interval join pairs each with the nearest complementary part within SCOPE code points of the same document, and
 only linked parts are reported.  The join is a sort-merge sweep over each document's parts (the nearest part of a class
 before and after), so a document with many parts costs their sort, not their square.
 
@@ -14,18 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import bind, pieces, table
+from .pii import EMAIL, IP
 
 #: Strong detectors in their fixed order: kind, pattern (possessive where that can't change a match), part class.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-#: Weak parts: labelled identifiers, unlabelled base64-like strings of 24 or more code points, URLs.
+#: Weak parts: labelled identifiers, unlabelled base64-like strings of 24 or more code points, URLs; and mail and ip addresses.
 WEAK_ID = r"""(?i:client_?id|user(?:name)?|login|account|access_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9._@-]{3,}+"""
 WEAK_KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{24,}+"
 ENDPOINT = r"(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}+"
-KINDS = ("assign", "access", "hex", "weak_id", "weak_key", "endpoint")
+KINDS = ("assign", "access", "hex", "weak_id", "weak_key", "endpoint", "mail", "address")
+#: The kinds of each part of a credential.
+IDENTIFIERS, SECRETS, ENDPOINTS = (1, 3, 6), (0, 2, 4), (5, 7)
 #: Largest gap, in code points, between the parts of one credential.
 SCOPE = 200
 
@@ -50,10 +53,17 @@ def parts(text: Column) -> Column:
         _found(text, WEAK_ID, 3, text.rlike(WEAK_ID)),
         _found(text, WEAK_KEY, 4, text.rlike(WEAK_KEY)),
         _found(text, ENDPOINT, 5, F.contains(text, F.lit("://"))),
+        _found(text, EMAIL, 6, F.contains(text, F.lit("@"))),
+        _found(text, IP, 7, text.rlike(IP)),
     ]
     return F.array_sort(F.concat(*found))
 
 
+def _once(rows: Column) -> Column:
+    """Sorted and each once; array_distinct would compare all pairs of structs."""
+    return bind(F.array_sort(rows), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+
+
 def _list(rows: Column) -> Column:
     """kind:start:end, comma-joined, of an array of (start, kind, end)."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -63,8 +73,8 @@ def _list(rows: Column) -> Column:
 def link(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
     """One row per document row: doc_id, base (strong spans) and found (those and the linked weak ones), by start, then kind.
 
-    Identifiers (access, weak_id) and endpoints need a secret (assign, hex, weak_key); secrets need an identifier or an
-    endpoint.  Overlapping parts don't complement each other.
+    Identifiers (access, weak_id, mail) and endpoints (endpoint, address) need a secret (assign, hex, weak_key); secrets
+    need an identifier or an endpoint.  Overlapping parts don't complement each other.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", parts(F.col(text)).alias("parts"))
     one = rows.select("row", "doc_id", F.explode_outer("parts").alias("p"))
@@ -73,7 +83,7 @@ def link(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
     ends = one.select("row", "doc_id", "p", F.explode(both).alias("x")).select("row", "doc_id", "p", "x.*")
     forth = Window.partitionBy("row").orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("row").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)
-    classes = {"id": F.col("p.k").isin(1, 3), "key": F.col("p.k").isin(0, 2, 4), "end": F.col("p.k") == 5}
+    classes = {"id": F.col("p.k").isin(*IDENTIFIERS), "key": F.col("p.k").isin(*SECRETS), "end": F.col("p.k").isin(*ENDPOINTS)}
     for name, cls in classes.items():
         ends = ends.withColumn(f"{name}_before", F.max(F.when(cls & (F.col("opens") == 0), F.col("at"))).over(forth))
     for name, cls in classes.items():
@@ -85,8 +95,8 @@ def link(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
 
     joined = F.when(classes["key"], near("id") | near("end")).otherwise(near("key"))
     spans = ends.groupBy("row", "doc_id").agg(
-        F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("p.k") <= 2, F.col("p"))))).alias("base"),
-        F.array_distinct(F.array_sort(F.collect_list(F.when((F.col("p.k") <= 2) | joined, F.col("p"))))).alias("found"),
+        _once(F.collect_list(F.when(F.col("p.k") <= 2, F.col("p")))).alias("base"),
+        _once(F.collect_list(F.when((F.col("p.k") <= 2) | joined, F.col("p")))).alias("found"),
     )
     return spans.select("doc_id", "base", "found")
 
