@@ -1,9 +1,12 @@
 """Personal data: detection and information-theoretic sanitisation (native).
 
-Detected values are the protected entities.  Over the whole corpus, the co-occurrence of a term with an entity estimates how
-strongly the term reveals it: PMI(t; e) = log2(p(t, e) / (p(t) p(e))), with document frequencies for p; the context of an
-entity is the whole text.  A term whose PMI with any entity reaches REMOVE x IC(e), IC(e) = -log2 p(e), is removed wherever it
-stands, in texts without the entity too; from GENERALISE x IC(e) on it is replaced by its class.  Pairs seen in fewer than SUPPORT documents estimate nothing and are left alone.
+Detected values are the protected entities, and so are their telling parts: an address's host, the net of an ip, the issuer
+of a card, a phone number but for its last four digits.  Over the whole corpus, the co-occurrence of a term with an entity
+estimates how strongly the term reveals it: PMI(t; e) = log2(p(e | t) / p(e)), with document frequencies; the context of an
+entity is the whole text.  p(e | t) is smoothed as if the term stood in PRIOR more documents, where the entity is as frequent
+as anywhere, so a pair seen once proves little.  What a reader of the term doesn't know yet of the entity is IC(e) - PMI(t; e)
+bits, IC(e) = -log2 p(e).  A term that leaves at most REMOVE bits open is removed wherever it stands, in texts without the
+entity too; one that leaves at most GENERALISE is replaced by its class.
 
 Defined results: null or empty text has no spans (a null text stays null when sanitised); each row counts as one document,
 repeated rows included, and gives one result; null doc_id is carried; an empty table gives an empty result; other columns
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, rewrite, staged, table
+from .common import hot_keys, pieces, rewrite, spread_join, staged, table
 
 #: Detectors in their fixed order.  Each starts at the head of its run or where the last match ended, so a long run is
 #: walked once; possessive repeats keep the stack flat.  Neither changes what matches.
@@ -31,8 +34,8 @@ TERM = r"(?<!\p{L})\p{L}{4,}+"
 MASK = "\uffff"
 #: A term of a masked text: one that a mention touches is none.
 FREE = rf"(?<![\p{{L}}{MASK}])\p{{L}}{{4,}}+(?!{MASK})"
-SUPPORT = 3
-REMOVE, GENERALISE = 0.9, 0.75
+PRIOR = 2.0
+REMOVE, GENERALISE = 0.85, 1.35
 
 _SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
 
@@ -64,18 +67,18 @@ def spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _entity(x: Column) -> Column:
-    return F.xxhash64(x["k"], F.when(x["k"] == 0, F.lower(x["m"])).when(x["k"] == 1, x["m"]).otherwise(F.regexp_replace(x["m"], "[^0-9]", "")))
+def _entities(x: Column) -> Column:
+    """Numbers of a mention's entities: its normal form, and the part of it that others share."""
+    digits = F.regexp_replace(x["m"], "[^0-9]", "")
+    value = F.when(x["k"] == 0, F.lower(x["m"])).when(x["k"] == 1, x["m"]).otherwise(digits)
+    part = F.when(x["k"] == 0, F.substring_index(F.lower(x["m"]), "@", -1)).when(x["k"] == 1, F.substring_index(x["m"], ".", 2))
+    part = part.when(x["k"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    return F.array(F.xxhash64(x["k"], value), F.xxhash64(x["k"] + len(KINDS), part))
 
 
 def _masked(text: Column, found: Column) -> Column:
     """text with as many MASKs in the place of each mention."""
-    text = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    begin = lambda a, x: F.greatest(a["at"], x["s"])
-    part = lambda a, x: F.array(F.substring(text, a["at"] + 1, begin(a, x) - a["at"]), F.repeat(F.lit(MASK), x["e"] - begin(a, x)))
-    walk = F.aggregate(found, start, lambda a, x: F.when(x["e"] > a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], part(a, x)).alias("out"))).otherwise(a))
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(walk["out"], ""), F.substring(text, walk["at"] + 1, F.length(text))))
+    return rewrite(F.coalesce(text, F.lit("")), found, lambda x, begin: F.repeat(F.lit(MASK), x["e"] - begin))
 
 
 def _mentions(docs: DataFrame, text: str, keep: bool) -> DataFrame:
@@ -93,23 +96,28 @@ def _words(mentions: DataFrame, of: Column) -> DataFrame:
 
 def disclosure(mentions: DataFrame) -> DataFrame:
     """(ent, term, level): the terms that reveal an entity; level 1 is generalised, 2 removed."""
-    n = F.lit(float(mentions.count()))
-    ents = mentions.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("ent"))
-    often = staged(ents.groupBy("ent").agg(F.count(F.lit(1)).alias("n_ent")).where(F.col("n_ent") >= SUPPORT), "pii-entities")
-    ents = staged(ents.join(often, "ent"), "pii-places")
+    n = float(mentions.count())
+    ents = mentions.select("row", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("ent"))
+    often = ents.groupBy("ent").agg(F.count(F.lit(1)).alias("n_ent"))
+
+    def open_bits(both: Column, n_term: Column) -> Column:
+        """IC - PMI."""
+        return -F.log2((both + PRIOR * F.col("n_ent") / n) / (n_term + PRIOR))
+
+    # both <= n_ent and both <= n_term: what can't come to GENERALISE with equality there needs no counting; a little slack for rounding.
+    enough = GENERALISE + 1e-9
+    often = staged(often.where(open_bits(F.col("n_ent"), F.col("n_ent")) <= enough), "pii-entities")
+    ents = staged(spread_join(ents, often, ["ent"], hot_keys(often, ["ent"], "n_ent"), F.col("row")), "pii-places")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("t")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
     terms = mentions.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # PMI reaches GENERALISE x IC only if n_term <= n_ent (n / n_ent) ** (1 - GENERALISE), as both <= n_ent; a little slack for rounding.
-    most = lambda c: c * F.pow(n / c, F.lit(1 - GENERALISE)) * 1.000001
-    top = often.agg(F.max(most(F.col("n_ent"))).alias("top"))
-    terms = terms.where(F.col("n_term") >= SUPPORT).crossJoin(F.broadcast(top)).where(F.col("n_term") <= F.col("top")).drop("top")
+    most = often.agg(F.max("n_ent")).first()[0] or 0
+    terms = terms.where(F.col("n_term") <= (most + PRIOR * most / max(n, 1.0)) * 2**enough)
     texts = mentions.join(ents.select("row").distinct(), "row", "left_semi")
-    here = _words(texts, F.regexp_extract_all(_masked(F.col("t"), F.col("spans")), F.lit(FREE), F.lit(0))).select("row", "term").distinct().join(terms, "term")
-    pairs = ents.join(here, "row").where(F.col("n_term") <= most(F.col("n_ent")))
-    pairs = pairs.groupBy("ent", "term", "n_ent", "n_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    ic = F.log2(n / F.col("n_ent"))
-    share = F.when(ic > 0, F.log2(F.col("both") * n / (F.col("n_ent") * F.greatest("n_term", "both"))) / ic)
-    return pairs.select("ent", "term", F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1).alias("level")).where("level is not null")
+    here = _words(texts, F.regexp_extract_all(_masked(F.col("t"), F.col("spans")), F.lit(FREE), F.lit(0))).select("row", "term").distinct()
+    pairs = ents.join(here, "row").groupBy("ent", "term").agg(F.first("n_ent").alias("n_ent"), F.count(F.lit(1)).alias("both"))
+    pairs = pairs.where(open_bits(F.col("both"), F.col("both")) <= enough).join(terms, "term")
+    left = open_bits(F.col("both"), F.greatest("n_term", "both"))
+    return pairs.select("ent", "term", F.when(left <= REMOVE, 2).when(left <= GENERALISE, 1).alias("level")).where("level is not null")
 
 
 def _revealing(mentions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gleaner.llm import chunks, packing, pii, quality, secrets, toxicity
@@ -81,6 +82,33 @@ def test_weak_parts_need_their_complements(spark):
     assert got[1] == got[2] == got[4] == got[5] == ""
 
 
+def plain_links(text, scope=secrets.SCOPE):
+    """Every pair of parts of a text: the weak parts that are reported."""
+    parts = [(k, m.start(), m.end()) for k, p in ((3, secrets.WEAK_ID), (4, secrets.WEAK_KEY), (5, secrets.ENDPOINT)) for m in regex.finditer(p, text)]
+    parts += plain_secrets(text) + [(6, a, b) for k, a, b in plain_pii(text) if k == 0] + [(7, *m.span()) for m in regex.finditer(secrets.IP, text)]
+    cls = lambda k: "i" if k in secrets.IDENTIFIERS else "s" if k in secrets.SECRETS else "e"
+    fits = {("i", "s"), ("s", "i"), ("s", "e"), ("e", "s")}
+    out = set()
+    for x in parts:
+        for y in parts:
+            gap = max(y[1] - x[2], x[1] - y[2])
+            if x[0] > 2 and (cls(x[0]), cls(y[0])) in fits and 0 <= gap <= scope:
+                out.add(x)
+    return sorted(out)
+
+
+def test_linking_is_what_all_pairs_say(spark):
+    rng = np.random.default_rng(9)
+    bits = ["login: alice", "user=bob", "bob@mail.example.com", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5", "postgres://db.example.com/x", "10.20.30.40", "password=abcdefgh1", "deadbeef" * 4, "AKIAABCDEFGHIJKL12", "filler " * 20, "x " * 60]
+    texts = [" ".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 14))) for _ in range(150)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = {i: plain_links(t) for i, t in enumerate(texts)}
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: sorted((secrets.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if secrets.KINDS.index(k) > 2) for r in rows}
+    assert got == want
+    assert sum(map(len, list(want.values())[150:])) > 0  # the documents have linked parts too
+
+
 def test_pii_matches_plain_version(spark, edges):
     rows = [(i, t, "", "", 0) for i, t in enumerate(TRICKY)]
     docs = spark.createDataFrame(rows, DOCS).unionByName(edges.select("doc_id", "text", "lang", "source", "n_chars")).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
@@ -107,6 +135,69 @@ def test_revealing_terms_go_wherever_they_stand(spark):
     assert {r["doc_id"]: r["n_term"] for r in pii.find(docs).collect()}[8] == 1
 
 
+def plain_levels(texts):
+    """{term: level} by counting every pair of entity and term."""
+    n, ents, terms, free = len(texts), defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        masked = list(t)
+        for k, a, b in plain_pii(t):
+            m = t[a:b]
+            d = re.sub("[^0-9]", "", m)
+            value = (m.lower(), m, d, d)[k]
+            part = (m.lower().split("@")[-1], ".".join(m.split(".")[:2]), d[:6], d[:-4])[k]
+            ents[k, "value", value].add(i)
+            ents[k, "part", part].add(i)
+            masked[a:b] = "\uffff" * (b - a)
+        for w in regex.findall(r"(?<!\p{L})\p{L}{4,}+", t.lower()):
+            terms[w].add(i)
+        for w in regex.findall(r"(?<![\p{L}\uffff])\p{L}{4,}+(?!\uffff)", "".join(masked).lower()):
+            free[w].add(i)
+    out = {}
+    for e in ents.values():
+        for w, places in free.items():
+            p = len(e) / n
+            both = len(e & places)
+            if both:
+                bits = -np.log2(p) - np.log2((both + pii.PRIOR * p) / (len(terms[w]) + pii.PRIOR) / p)
+                level = 2 if bits <= pii.REMOVE else 1 if bits <= pii.GENERALISE else 0
+                out[w] = max(level, out.get(w, 0))
+    return {w: v for w, v in out.items() if v}
+
+
+def test_disclosure_is_what_plain_counts_say(spark):
+    rng = np.random.default_rng(12)
+    names = ["zorblax", "quentin", "marlowe", "ishmael", "hedda"]
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for i in range(60):
+        who = int(rng.integers(0, 5))
+        said = names[who] if rng.random() < 0.8 else names[int(rng.integers(0, 5))]
+        where = (f"{said[:3]}@firm{who}.example", f"10.{who}.0.{i % 3}", f"+1 (20{who}) 555-01{who}3", "4539 1488 0343 6467")[i % 4]
+        texts.append(f"{said.title()} wrote from {where} about {names[int(rng.integers(0, 5))]} {'and others' * int(rng.integers(0, 3))}")
+    texts += [f"Glimmerfen number {i} has 4111 1111 1111 1111 with others" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_levels(texts)
+    assert {1, 2} <= set(want.values())
+    levels = pii.disclosure(pii._mentions(docs, "text", False)).groupBy("term").agg(F.max("level").alias("level"))
+    got = {r["term"]: r["level"] for r in levels.collect()}
+    number = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in want], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert got == {number[w]: v for w, v in want.items()}
+    spans = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        marks = "".join("\uffff" if any(a <= x < b for _, a, b in plain_pii(t)) else c for x, c in enumerate(t)) if plain_pii(t) else t
+        hits = [m.span() for m in regex.finditer(r"(?<![\p{L}\uffff])\p{L}{4,}+(?!\uffff)", marks) if m[0].lower() in want]
+        assert sorted(tuple(map(int, x.split(":")[1:])) for x in spans[i]["spans"].split(",") if x.startswith("term")) == sorted(hits)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    n = 100_000
+    rows = [(1, "a@b.co " * n), (2, "password=abcdefgh1 bob@x.example " * 20_000), (3, "é 🙂 1.2.3.4 " * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "[EMAIL] " * n and clean[3] == "é 🙂 [IP] " * n
+    found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert found[2]["n_assign"] == 20_000 and found[2]["n_linked"] == 20_000 and found[1]["n_linked"] == 0
+
+
 def test_sanitise_keeps_rows_and_columns(edges, empty):
     out = pii.sanitise(edges)
     assert out.columns == edges.columns and out.count() == len(EDGES) and pii.sanitise(empty).count() == 0 and pii.find(empty).count() == secrets.scan(empty).count() == 0
