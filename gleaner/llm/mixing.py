@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling (native).
 
-Each document expects e = target / size of its source copies.  The whole part of e is certain; for the rest documents are
-ranked by the odds of a random number divided by the odds of their inclusion, and the head of that ranking is taken until
-the source's words are full; documents after it that fit into what is left are taken in rank order, until none fits.  Ranks
-come from a histogram of the ranking key, so no task sees a whole source.
+A document expects copies in proportion to its words ** TILT, at most CAP of them, so that a source's expected words are its
+target: longer documents are somewhat likelier.  The whole part of that is certain; for the rest documents are ranked by the
+odds of a random number divided by the odds of their own inclusion, and the head of that ranking is taken until the source's
+words are full; documents after it that fit into what is left are taken in rank order, until none fits.  Ranks come from a
+histogram of the ranking key, so no task sees a whole source.
 
-Defined results: null text has size 0; null source is a source of its own, last in order; identical rows (same doc_id and
+Defined results: null text has size 0, and documents without words are never taken; null source is a source of its own, last in order; identical rows (same doc_id and
 text) stand or fall together; an empty table gives an empty result; other columns are carried by `mix` and never read.
 """
 
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, word_count
 
+#: Weights of the sources, words of the mixture as a share of all, and most copies of a source's words and of a document.
+WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
+#: How much likelier long documents are: odds go with words ** TILT; 0 treats all alike.
+TILT = 0.25
 #: Histogram cells of the ranking key in each source; tasks that rank see about size / CELLS documents of a source.
 CELLS = 4096
 #: Documents after a cut that are tried one by one in a round; the next round cuts among those behind them that still fit.
@@ -34,7 +39,7 @@ def _uniform(doc: Column, text: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc, text), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(skey, source_size) -> target for each source: weights in source order, repeating; filled by weight up to cap x size.
 
     One row per source, so its windows run in one task: the sources are what a mixture lists by hand.
@@ -109,17 +114,42 @@ def _round(ranked: DataFrame, state: DataFrame) -> DataFrame:
     return staged(found.coalesce(1), "mix-round")
 
 
-def plan(base: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per source: target, certain copies, inclusion odds, and the rounds in which documents get one copy more."""
-    sources = source_targets(base.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = sources.withColumn("copies", F.floor(each).cast("long")).withColumn("rest", each - F.floor(each))
-    sources = staged(sources.withColumn("open", F.col("target") - F.col("copies") * F.col("source_size")).coalesce(1), "mix-sources")
-    ranked = base.join(sources.where("rest > 0").select("skey", "rest"), "skey")
+def _expected(size: Column, cap: Column) -> Column:
+    """Copies that a document expects; without a scale, the most."""
+    return F.when(size > 0, F.least(cap, F.coalesce(F.col("scale") * F.pow(size, F.lit(TILT)), cap))).otherwise(F.lit(0.0))
+
+
+def _scales(sources: DataFrame, by_size: DataFrame, cap: float) -> DataFrame:
+    """sources get scale: expected copies of a document of one word, such that a source's expected words are its target.
+
+    by_size has a row per source and size, n documents each; a source's sizes are sorted in one task, its documents aren't.
+    Documents that come to the cap are the longest of their source, so the scale is that of the first size that doesn't.
+    """
+    order = Window.partitionBy("skey").orderBy(F.desc("size"))
+    rows = by_size.where("size > 0").join(sources.where(F.col("target") < F.col("source_size") * cap * (1 - 1e-12)), "skey")
+    words, each = F.col("n") * F.col("size"), F.pow(F.col("size"), F.lit(TILT))
+    longer = F.coalesce(F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = (F.col("target") - cap * longer) / F.sum(words * each).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.select("skey", "size", level.alias("level")).where(F.col("level") * each <= cap * (1 + 1e-12))
+    return sources.join(rows.groupBy("skey").agg(F.max(F.struct("size", "level"))["level"].alias("scale")), "skey", "left")
+
+
+def plan(base: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """Per source: target, scale, the words open after certain copies, and the rounds in which documents get one copy more."""
+    by_size = staged(base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "mix-by-size")
+    sources = source_targets(by_size.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
+    sources = _scales(sources, by_size, cap)
+    each = _expected(F.col("size"), F.lit(cap))
+    certain = by_size.join(sources, "skey").groupBy("skey").agg(F.sum(F.floor(each) * F.col("size") * F.col("n")).alias("certain"))
+    sources = sources.join(certain, "skey").withColumn("open", F.col("target") - F.col("certain"))
+    sources = staged(sources.withColumn("cap", F.lit(cap)).coalesce(1), "mix-sources")
+    ranked = base.join(sources.where("open > 0").select("skey", "scale", "cap"), "skey")
+    each = _expected(F.col("size"), F.col("cap"))
+    ranked = ranked.withColumn("rest", each - F.floor(each)).where("rest > 0")
     ranked = ranked.select("skey", "doc_id", "size", _rank(F.col("u"), F.col("rest")).alias("v"))
     kind = ranked.select(_place().alias("x")).schema["x"].dataType.simpleString()
     ranked = ranked.withColumn("cell", _cell(F.col("v")))
-    state = sources.where("rest > 0").select("skey", F.col("open").cast("double").alias("gap"), F.lit(None).cast(kind).alias("after"))
+    state = sources.where("open > 0").select("skey", F.col("open").cast("double").alias("gap"), F.lit(None).cast(kind).alias("after"))
     rounds = None
     while True:  # each round ends behind where it began, and only sources with a document that fits go on
         found = _round(ranked, state)
@@ -135,7 +165,9 @@ def _copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows with skey, doc_id, size and u get source_size, target and copies."""
     small = (decided.agg(F.sum(F.greatest(F.size("rounds"), F.lit(1)))).first()[0] or 0) <= BROADCAST_ROUNDS
     rows = rows.join(F.broadcast(decided) if small else decided, "skey")
-    v = _rank(F.col("u"), F.col("rest"))
+    each = _expected(F.col("size"), F.col("cap"))
+    rest = each - F.floor(each)
+    v = _rank(F.col("u"), rest)
     place = F.struct(v.alias("v"), F.col("doc_id"), F.col("size"))
     falls = lambda c: F.coalesce(c, F.lit(False))
 
@@ -144,17 +176,17 @@ def _copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
         return candidate & (x["first_cell"].isNull() | (_cell(v) < x["first_cell"]) | falls(place <= x["last_place"]) | falls(F.array_contains(x["fillers"], place)))
 
     more = falls(F.exists("rounds", taken))
-    return rows.withColumn("copies", F.col("copies") + F.when((F.col("rest") > 0) & more, 1).otherwise(0))
+    return rows.withColumn("copies", F.floor(each) + F.when((rest > 0) & more, 1).otherwise(0))
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies and taken (size x copies)."""
     base = staged(_sized(docs, source, text, seed), "mix-sizes")
     out = _copies(base, plan(base, weights, share, cap))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
     """The documents themselves, each as many times as the mixture takes it, with all their columns."""
     base = staged(_sized(docs, source, text, seed), "mix-sizes")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _key(source).alias("skey"), word_count(F.col(text)).alias("size"), _uniform(F.col("doc_id"), F.col(text), seed).alias("u"))

@@ -303,6 +303,31 @@ def test_mixing_at_its_edges(spark):
     assert mixing.mixture(none).count() == mixing.mix(none).count() == 0
 
 
+def plain_expected(sizes, target, cap=2.0):
+    """Copies expected of each size: scale x size ** TILT up to the cap, the scale by halving."""
+    each = lambda scale: [min(cap, scale * n**mixing.TILT) if n else 0.0 for n in sizes]
+    lo, hi = 0.0, cap
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(e * n for e, n in zip(each(mid), sizes, strict=True)) < target else (lo, mid)
+    return each(hi)
+
+
+def test_documents_have_their_own_odds(spark):
+    """Over many seeds each size is included about as often as it expects, and differently from the others."""
+    sizes = [10] * 200 + [40] * 200 + [160] * 200
+    docs = spark.createDataFrame([(i, "w " * n, "en", "s", 0) for i, n in enumerate(sizes)], DOCS)
+    want = dict(zip(range(len(sizes)), plain_expected(sizes, 0.4 * sum(sizes)), strict=True))
+    seen = defaultdict(list)
+    for seed in range(4):
+        for r in mixing.mixture(docs, (1,), 0.4, seed=seed).collect():
+            seen[r["size"]].append(r["copies"])
+            assert np.floor(want[r["doc_id"]]) <= r["copies"] <= np.ceil(want[r["doc_id"]])
+    means = {n: float(np.mean(v)) for n, v in seen.items()}
+    assert means[10] + 0.05 < means[40] < means[160] - 0.05, means
+    assert all(abs(means[n] - want[i]) < 0.06 for i, n in enumerate(sizes)), (means, want)
+
+
 def test_a_long_document_on_the_cut_leaves_no_gap(spark):
     """Short documents behind a long one that doesn't fit fill the source, as in a plain walk over all of them."""
     rows = [(i, "a b c d e", "en", "s", 0) for i in range(3000)] + [(4000 + i, "w " * 900, "en", "s", 0) for i in range(12)]
@@ -311,9 +336,10 @@ def test_a_long_document_on_the_cut_leaves_no_gap(spark):
     for seed in (1, 2, 3):
         base = mixing._sized(docs, "source", "text", seed)
         plan = mixing.plan(mixing.staged(base, "t"), (1,), 0.25).first()
-        groups = defaultdict(int)
-        for r in base.collect():
-            x = r["u"] / (1 - r["u"]) * (1 - plan["rest"]) / plan["rest"]
+        groups, found = defaultdict(int), base.collect()
+        for r, rest in zip(found, plain_expected([r["size"] for r in found], plan["target"]), strict=True):
+            assert 0 < rest < 1
+            x = r["u"] / (1 - r["u"]) * (1 - rest) / rest
             groups[x / (1 + x), r["doc_id"] if r["doc_id"] is not None else -1, r["size"]] += r["size"]
         gap, want = plan["open"], set()
         for (v, d, n), words in sorted(groups.items()):
@@ -342,8 +368,9 @@ def test_pipeline_stage_by_stage(spark):
     good = [d for d, q in labels.items() if q == 1]
     assert sum(d in there for d in good) >= 0.98 * len(good) and sum(d in there for d, q in labels.items() if q == 0) <= 0.2 * (len(labels) - len(good))
     single = corpus_pipeline.near_duplicates(spark, kept, SF).cache()
-    want = plain_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in kept.collect()})
-    assert {r["doc_id"] for r in single.collect()} == set(want.values()) and single.count() == len(set(want.values()))
+    want = alike_components({r["doc_id"]: r["text"] for r in kept.collect()})
+    left = [r["doc_id"] for r in single.collect()]
+    assert set(want.values()) <= set(left) and len(left) - len(set(want.values())) <= 0.05 * (len(want) - len(set(want.values())))
     clean = corpus_pipeline.personal_data(spark, single, SF).cache()
     assert clean.columns == docs.columns and clean.count() == single.count()
     mixed = corpus_pipeline.mixture(spark, clean, SF).cache()
