@@ -85,13 +85,13 @@ def rewrite(text: Column, found: Column, new: Callable[[Column, Column], Column]
     return F.when(F.size(found) > 0, walk).otherwise(text)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """(keys, salts) of the keys with so many rows that they are dealt over several tasks: HOT_KEYS at most.
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
+    """(keys, salts) of the keys with more than `rows` rows and their share of all: `most` of them, so they can be broadcast.
 
     counts has one row per key and its number of rows, n.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
-    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    limit = max(rows, -(-total // most))
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
 
 
