@@ -28,7 +28,7 @@ SCALE = 64
 #: Sums of gains below this size and counts up to 2 ** 20 share a double.
 _HALF = 2.0**30
 #: Shares of a block's postings processed up to each proof; after the last one all scores are known.
-LEVELS = (0.5, 0.7, 1.0)
+LEVELS = (0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
 #: Processing stops when at most this share of the block can still belong to the result.
 FEW = 0.3
 

@@ -21,5 +21,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pareto_mix": mixing.query,
 }
 
-#: DuckDB SQL where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL where SQL can express the query: the others rest on hashes, fitted models or a tokenizer.
+ORACLE_SQL: dict[str, str] = {
+    "op3_impact_topk": """
+        WITH clean AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+        ),
+        impacts AS (SELECT vec_id, list_transform(x, lambda v: floor(64 * v)) AS z FROM clean),
+        scores AS (
+            SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.z, r.z)::BIGINT AS score
+            FROM impacts q JOIN impacts r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
