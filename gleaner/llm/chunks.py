@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rewrite, table
+from .common import hot_keys, rewrite, spread_join, staged, table
 
 #: Cuts by size of the hash lie MEAN bytes apart on average; chunks have LEAST to MOST bytes (but for the last of a text).
 MEAN, LEAST, MOST = 32, 8, 256
@@ -151,8 +151,11 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS)
     that another document keeps, as array<struct<s,e>>.
     """
     all_ = chunks(docs, text)
-    shared = all_.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
-    hits = all_.join(shared, ["d1", "d2"]).select(
+    shared = all_.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = staged(shared.where("lo < hi").select("d1", "d2", "lo", "n"), "chunk-shared")
+    # A chunk that very many texts hold is dealt over tasks.
+    hits = spread_join(all_, shared.drop("n"), ["d1", "d2"], hot_keys(shared, ["d1", "d2"]), F.col("row"))
+    hits = hits.select(
         "row", "doc_id", "lo", F.shiftright("at", _SIZE_BITS + _WORD_BITS).alias("start"),
         F.shiftright("at", _WORD_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).alias("size"), F.col("at").bitwiseAND((1 << _WORD_BITS) - 1).alias("words"),
     )
