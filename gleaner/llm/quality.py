@@ -35,7 +35,7 @@ _LETTERS = re.compile(r"[^\W\d_]")
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, runs of them as one; other characters as they are, three of a kind at most."""
-    s = "".join("0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word[:64])
+    s = "".join("0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word)
     return _RUNS.sub(lambda m: m[0][:3] if m[4] else m[0][0], s)
 
 
