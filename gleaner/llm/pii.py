@@ -35,6 +35,8 @@ MASK = "\uffff"
 #: A term of a masked text: one that a mention touches is none.
 FREE = rf"(?<![\p{{L}}{MASK}])\p{{L}}{{4,}}+(?!{MASK})"
 PRIOR = 2.0
+#: Up to so many characters, the revealing words of all rows go to the texts.
+BROADCAST = 4 << 20
 REMOVE, GENERALISE = 0.85, 1.35
 
 _SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
@@ -111,11 +113,12 @@ def disclosure(mentions: DataFrame) -> DataFrame:
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("t")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
     terms = mentions.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     most = often.agg(F.max("n_ent")).first()[0] or 0
-    terms = terms.where(F.col("n_term") <= (most + PRIOR * most / max(n, 1.0)) * 2**enough)
+    terms = staged(terms.where(F.col("n_term") <= (most + PRIOR * most / max(n, 1.0)) * 2**enough), "pii-counts")
     texts = mentions.join(ents.select("row").distinct(), "row", "left_semi")
     here = _words(texts, F.regexp_extract_all(_masked(F.col("t"), F.col("spans")), F.lit(FREE), F.lit(0))).select("row", "term").distinct()
-    pairs = ents.join(here, "row").groupBy("ent", "term").agg(F.first("n_ent").alias("n_ent"), F.count(F.lit(1)).alias("both"))
-    pairs = pairs.where(open_bits(F.col("both"), F.col("both")) <= enough).join(terms, "term")
+    here = spread_join(here, terms, ["term"], hot_keys(terms, ["term"], "n_term"), F.col("row"))
+    pairs = ents.join(here, "row").where(open_bits(F.col("n_ent"), F.col("n_term")) <= enough)
+    pairs = pairs.groupBy("ent", "term", "n_ent", "n_term").agg(F.count(F.lit(1)).alias("both"))
     left = open_bits(F.col("both"), F.greatest("n_term", "both"))
     return pairs.select("ent", "term", F.when(left <= REMOVE, 2).when(left <= GENERALISE, 1).alias("level")).where("level is not null")
 
@@ -125,7 +128,9 @@ def _revealing(mentions: DataFrame) -> DataFrame:
     levels = staged(disclosure(mentions).groupBy("term").agg(F.max("level").alias("level")), "pii-terms")
     masked = _masked(F.col("t"), F.col("spans"))
     hits = _words(mentions, F.regexp_extract_all(masked, F.lit(FREE), F.lit(0))).join(levels, "term")
-    hits = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "level"))).alias("hits"))
+    hits = staged(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "level"))).alias("hits")), "pii-hits")
+    held = hits.agg(F.sum(F.length(F.array_join(F.map_keys("hits"), "    ")) + 32)).first()[0] or 0
+    hits = F.broadcast(hits) if held <= BROADCAST else hits  # beyond that, texts go to their hits
     # Words are letters only, so they are patterns of themselves.
     pattern = F.concat(F.lit(rf"(?<![\p{{L}}{MASK}])(?:"), F.array_join(F.map_keys("hits"), "|"), F.lit(rf")(?![\p{{L}}{MASK}])"))
     rows = mentions.select("row", masked.alias("t")).join(hits, "row").withColumn("pattern", pattern)
