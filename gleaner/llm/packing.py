@@ -18,11 +18,13 @@ occur; null doc_id is carried; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,22 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
+#: How that vocabulary splits texts; any other one gets whole texts.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+
+
+def _splits_words(spec: dict) -> bool:
+    """Whether a tokenizer's description is that of words split here: lower case, white space dropped, byte letters, word ends."""
+    normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        normal == _NORMAL and len(before) == 2 and before[0].get("pattern") == {"Regex": _SPLIT} and before[0].get("behavior") == "Removed"
+        and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space") and not before[1].get("use_regex")
+        and spec["model"].get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None
+    )
+
+
 def _byte_letters() -> list[str]:
     """The letter of each byte in byte-level vocabularies: itself where printable, else the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -63,10 +81,10 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """text -> ids.  The tokenizer drops white space and never joins across it, so words are encoded one by one and kept.
+    """text -> ids.  Where the tokenizer drops white space and never joins across it, words are encoded one by one and kept.
 
     Plain words are split here and their parts given to the vocabulary's merges, which costs a fifth of the whole
-    tokenizer; any other word goes through the whole tokenizer.
+    tokenizer; any other word goes through the whole tokenizer, and so does a text where the tokenizer splits otherwise.
     """
 
     def __init__(self, vocabulary: str):
@@ -74,13 +92,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
+        self.by_word = _splits_words(json.loads(Path(vocabulary).read_text(encoding="utf-8")))
         self.letters = _byte_letters()
         self.words, self.parts = Cache(self._word), Cache(self._part)
         size = self.tokenizer.get_vocab_size()
         #: Whether a sentence ends after an id.
         self.ends = np.zeros(max(size, CLOSE + 1), bool)
         for word, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = word.removesuffix("</w>")[-1:] in (".", "!", "?") and word.endswith("</w>")
+            self.ends[i] = word.removesuffix("</w>")[-1:] in (".", "!", "?") and (word.endswith("</w>") or not self.by_word)
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
@@ -93,6 +112,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, CLOSE], np.uint32)
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return np.frombuffer(b"".join([*map(self.words.__getitem__, words), _CLOSE]), np.uint32)
 
