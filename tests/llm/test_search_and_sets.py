@@ -46,6 +46,84 @@ def test_ann_recall_and_scores(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_ann_visits_a_part_of_the_rows():
+    """On 10,000 rows without structure: the rows in the visited buckets, and the recall among them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hashes = ann.Hashes(64, len(x), 1.0)
+    buckets = hashes.buckets(hashes.place(hashes.lift(x, False)))
+    share, hits = [], 0
+    for i in range(60):
+        s = x @ x[i]
+        s[i] = -np.inf
+        top = np.argsort(-s)[:20]
+        probes = hashes.probes(hashes.place(hashes.lift(x[i][None], True))[0], float((2 - 2 * s[top[-1]]) ** 0.5))
+        seen = np.isin(buckets, probes).any(1)
+        share.append(seen.mean())
+        hits += seen[top].sum()
+    assert hits >= 0.9 * 60 * 20 and np.mean(share) < 0.7
+
+
+def test_probes_come_in_the_order_of_their_estimate():
+    rng = np.random.default_rng(7)
+    hashes = ann.Hashes(8, 64, 1.0)
+    place = hashes.place(rng.normal(size=(1, 9)))[0]
+    probes = hashes.probes(place, 0.8)
+    own = hashes.buckets(place[None])[0]
+    assert set(own.tolist()) <= set(probes.tolist()) and len(set(probes.tolist())) == len(probes)
+    # By drawing neighbours: earlier buckets of the first table are met more often.
+    drawn = place[None, 0] + rng.normal(size=(200_000, hashes.count)) * 0.8 / ann.WIDTH
+    met = (np.floor(drawn).astype(np.int64).view(np.uint64) * hashes.factor[0]).sum(1, dtype=np.uint64) + hashes.table[0]
+    values, n = np.unique(met, return_counts=True)
+    often = dict(zip(values.tolist(), n.tolist(), strict=True))
+    first = [often.get(p, 0) for p in probes.tolist()[:12]]
+    assert all(a >= 0.9 * b for a, b in zip(first, first[1:], strict=False)) and sum(often.get(p, 0) for p in probes.tolist()) >= 0.3 * 200_000
+
+
+def test_a_vector_that_a_third_of_the_rows_share(spark, monkeypatch):
+    """Its bucket is dealt in slices and its visitors in blocks; ties go to the smaller ids."""
+    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 12))
+    x[::3] = x[0]
+    x[5], x[7] = np.nan, 0
+    rows = ann.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).collect()
+    got = defaultdict(dict)
+    for r in rows:
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    assert set(got) == set(range(0, 1200, 20)) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    f = x.astype(np.float32).astype(float)
+    ids, hits = np.arange(1200), 0
+    for q, v in got.items():
+        s = np.nan_to_num(f @ f[q], nan=-np.inf)
+        s[[q, 7]] = -np.inf
+        hits += len(set(np.lexsort((ids, -s))[:20].tolist()) & set(v.values()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from gleaner.llm import queries
+
+    con = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, text in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, SF)
+        cols = sorted(df.columns)
+        found = con.execute(text)
+        names = [c[0] for c in found.description]
+        assert sorted(names) == cols
+        assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in found.fetchall())
+    # What SQL can say of a mixture: sizes, and targets by filling round by round.
+    sizes = "SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents"
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::BIGINT FROM ({sizes})").fetchall()}
+    assert {r["doc_id"]: (r["size"], r["source_size"]) for r in mixing.query(spark, SF).collect()} == want
+
+
 def test_impact_search_is_exact(spark):
     ids, x = load(spark)
     z = np.floor(64 * x)
@@ -379,3 +457,18 @@ def test_pipeline_stage_by_stage(spark):
     pieces = corpus_pipeline.packed(spark, mixed, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
     assert all(r["n"] == r["t"] * counts[r["doc_id"]] for r in pieces) and {r["doc_id"] for r in pieces} == set(counts)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_at_their_edges(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids, columns of clashing names, empty tables: through all stages."""
+    good = "the river runs slowly past the old mill and nobody minds it much today"
+    rows = [(1, None, "en", "s", 0), (2, "", "en", None, 0), (3, good, "en", "s", 3), (3, good, "en", "s", 3), (None, good, "en", "t", 3), (4, f"{good} mail bob@x.example", "en", "t", 3), (5, "w " * 30_000, "en", "u", 0)]
+    spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = {c: F.lit(1) for c in ("row", "spans", "score", "size", "fp", "node", "copies", "skey", "term", "whole")}
+    for docs in (spark.createDataFrame(rows, DOCS).withColumns(extra), spark.createDataFrame([], DOCS).withColumns(extra)):
+        columns, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            assert docs.columns == columns, name
+            assert (docs.count() > 0) == (n > 0), name
+        assert (corpus_pipeline.packed(spark, docs, str(tmp_path)).count() > 0) == (n > 0)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 from gleaner.llm import chunks, packing, pii, quality, secrets, toxicity
-from gleaner.llm.training import Cache
+from gleaner.llm.training import Cache, sample
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -245,6 +245,67 @@ def test_dual_coordinate_descent_reaches_the_primal_optimum():
     assert np.mean([(m > 0) == (v == 1) for m, (v, _) in zip(a, rows, strict=True)]) > 0.8
 
 
+def test_quality_is_a_plain_nb_svm(edges):
+    """Log-count ratios by plain counting, the hinge loss by projected gradient steps on its dual: the same margins."""
+    rng = np.random.default_rng(4)
+    rows = [(int(v), np.unique(rng.integers(0, 30, 10) + 30 * (rng.random() < (0.7 if v else 0.3)))) for v in rng.integers(0, 2, 90)]
+    seen, good = defaultdict(int), defaultdict(int)
+    for v, x in rows:
+        for f in x.tolist():
+            seen[f] += 1
+            good[f] += v
+    known = sorted(f for f in seen if seen[f] >= quality.LEAST_DOCS)
+    p, q = ({f: n[f] + 1.0 for f in known} for n in (good, {f: seen[f] - good[f] for f in seen}))
+    # Features that aren't known count once on either side.
+    rest = (1 << quality.BITS) - len(known)
+    more = [sum((good[f] if c else seen[f] - good[f]) for f in seen if f not in p) for c in (True, False)]
+    ratio = {f: np.log(p[f] / (sum(p.values()) + rest + more[0])) - np.log(q[f] / (sum(q.values()) + rest + more[1])) for f in known}
+    x = np.zeros((len(rows), len(known) + 1))
+    for i, (_, f) in enumerate(rows):
+        on = [k for k in f.tolist() if k in ratio]
+        for k in on:
+            x[i, known.index(k)] = ratio[k] / max(1, len(on)) ** 0.5
+        x[i, -1] = 1.0
+    y = np.array([1.0 if v else -1.0 for v, _ in rows])
+    most = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+    z = x * y[:, None]
+    a, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(z @ z.T).max()
+    for _ in range(20000):
+        a = np.clip(a + step * (1 - z @ (z.T @ a)), 0, most)
+    want = x @ (z.T @ a)
+    model = quality.fit(rows, epochs=2000)
+    assert np.abs(np.array([model.margin(f) for _, f in rows]) - want).max() < 1e-2
+
+
+def test_features_read_whole_words():
+    head = "a1" * 40
+    assert quality.shape(head + "!") != quality.shape(head + "?") and quality.shape("x" * 100_000 + "9") == "a0"
+
+
+def test_a_long_document_does_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(i, "long " * 5000 if i == 1 else f"short text {i}", "en", "s", 0) for i in range(1, 40)], DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    count = lambda t: np.arange(len(t.split()))
+    got = sample(docs, labels, "quality", 100, 500, count)
+    want = [i for i in range(2, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(got) == len(want) and all(len(x) == 3 for _, x in got)
+
+
+def test_toxicity_scores_are_a_plain_noisy_or(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    weights = model.table()
+    mixed = docs.unionByName(spark.createDataFrame([(5000, "you idiots. fine words! idiot idiot\nan idiot", "", "", 0), (5001, "i. d. i. o. t", "", "", 0)], DOCS))
+    texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
+    for r in toxicity.score(mixed, model).collect():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", texts[r["doc_id"]].lower()):
+            held = {k for w in re.findall(r"[^\W\d_]+", sentence) for k in toxicity._numbers(w) if k in weights}
+            if held:
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weights[k] for k in held))))
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-9)
+
+
 def test_toxicity_learns_and_locates(labelled, edges, empty):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
@@ -336,6 +397,14 @@ def test_packing_covers_every_id_once(spark, edges, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("Hello  World, it's\n\n  here ", "", "é 日本 🙂x", "a\tb"):
+        assert e(t).tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, packing.CLOSE]
+
+
 # Chunks
 
 
@@ -389,6 +458,19 @@ def test_repeats_catch_what_windows_find(spark):
     assert want <= got
 
 
+def test_chunks_at_their_edges(spark, edges):
+    """Very long texts, a chunk that a third of all rows hold, repeated rows and clashing columns."""
+    words = " ".join(hashlib.sha1(f"l{i}".encode()).hexdigest()[: 3 + i % 6] for i in range(40_000))
+    common = words[3000:3600]
+    rows = [(1000, words), (1001, "x " * 50_000), (1002, "y" * 300_000), (1003, None)] + [(2000 + i, f"{i} unlike {i * 7} {common} and {i * 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "at", "d1", "n", "lo", "salts")})
+    found = chunks.repeats(docs).collect()
+    assert {r["doc_id"] for r in found} == {1000, *range(2000, 2600)} and {r["first_doc_id"] for r in found} == {1000}
+    clean = {r["doc_id"]: r["text"] for r in chunks.dedup(docs).collect()}
+    assert clean[1000] == words and clean[1002] == "y" * 300_000 and clean[1003] is None and all(len(clean[2000 + i]) < 300 for i in range(600))
+    assert chunks.dedup(edges).count() == edges.count() and chunks.dedup(edges).columns == edges.columns
+
+
 def test_each_chunk_stays_with_its_smallest_holder(spark):
     """Neighbouring passages with different first holders: each stays where it is first, and goes elsewhere."""
     words = [hashlib.sha1(f"h{i}".encode()).hexdigest()[: 3 + i % 6] for i in range(1000)]
