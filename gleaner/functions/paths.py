@@ -78,6 +78,11 @@ def event_folder(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9 _.-]+", "_")
 
 
+def log_name(name: Column) -> Column:
+    """As event_folder, but without spaces."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "_")
+
+
 def is_safe_relative(path: Column) -> Column:
     """Neither absolute nor climbing."""
     return ~path.rlike(r"^/|(^|/)\.\.(/|$)")

@@ -11,7 +11,9 @@ connected component of those pairs:
    running maximum ends the event, and merges up to it stand - a window and an aggregate;
 4. per component, the standing merges and then the recovery of what is left over; ids by first observation.
 
-A component's size is what the data connects, not what the table holds; steps 2 and 4 hold one component per task group.
+Pairs that score less than the lower threshold can't merge, and as failures they come after every merge, so the scores of
+step 1 are all that steps 2 and 4 need: a task gets a component's observations without vectors, and its pairs.  Its size is
+what the data connects, not what the table holds; steps 2 and 4 hold one component per task group.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +46,9 @@ class _Cluster:
 
 
 class Agglomeration:
-    """The loop over the observations of one component; members are positions in the order of observation_id."""
+    """The loop over the observations of one component and its scored pairs; members are positions in the order of observation_id."""
 
-    def __init__(self, rows: pd.DataFrame, c: Config):
+    def __init__(self, rows: pd.DataFrame, pairs: pd.DataFrame, c: Config):
         rows = rows.sort_values("observation_id", kind="stable")
         self.c = c
         self.ids = rows["observation_id"].tolist()
@@ -55,38 +56,18 @@ class Agglomeration:
         self.pose = [p if p in POSES else None for p in rows["pose"]]
         self.quality = rows["quality"].tolist()
         self.anchor = rows["anchor"].astype(bool).tolist()
-        self.face = [np.asarray(v, np.float64) for v in rows["face"]]
-        self.body = [None if v is None else np.asarray(v, np.float64) for v in rows["body"]]
-        self.known: dict[tuple[int, int], float | None] = {}
+        at = {o: n for n, o in enumerate(self.ids)}
+        #: For each member, those it scores with.
+        self.near: list[dict[int, float]] = [{} for _ in self.ids]
+        for a, b, s in zip(pairs["a"], pairs["b"], pairs["score"], strict=True):
+            i, j = at[a], at[b]
+            self.near[i][j] = self.near[j][i] = s
         self.clusters = {i: _Cluster(i, [i], {self.image[i]}, self.anchor[i]) for i in range(len(self.ids))}
+        self.home = list(range(len(self.ids)))
 
     def cross(self, a: int, b: int) -> bool:
         return self.pose[a] is not None and self.pose[b] is not None and self.pose[a] != self.pose[b]
 
-    def score(self, a: int, b: int) -> float | None:
-        key = (a, b) if a < b else (b, a)
-        if key not in self.known:
-            self.known[key] = self._score(*key)
-        return self.known[key]
-
-    def _score(self, a: int, b: int) -> float | None:
-        c, dot = self.c, lambda x, y: min(1.0, max(-1.0, float(x @ y)))
-        if len(self.face[a]) != len(self.face[b]):
-            return None
-        face = dot(self.face[a], self.face[b])
-        x, y = self.body[a], self.body[b]
-        body = dot(x, y) if x is not None and y is not None and len(x) == len(y) else None
-        cross = self.cross(a, b)
-        if face < (c.cross_face if cross else c.min_face) or (cross and body is not None and face < c.min_face and body < c.cross_body):
-            return None
-        quality = (self.quality[a] + self.quality[b]) / 2
-        if body is None:
-            total = c.face_only_weight * face + c.face_only_quality_weight * quality
-        else:
-            total = c.face_weight * face + c.body_weight * min(1.0, max(0.0, (body + 1) / 2)) + c.quality_weight * quality
-        total = min(1.0, max(0.0, total))
-        return None if cross and total < c.cross_merge else total
-
     def representatives(self, cluster: _Cluster) -> list[int]:
         if not cluster.reps:
             c, count, kept = self.c, {}, []
@@ -104,9 +85,13 @@ class Agglomeration:
     def _pairs(self, a: _Cluster, b: _Cluster) -> Iterator[tuple[float, int, int]]:
         for i in self.representatives(a):
             for j in self.representatives(b):
-                if self.image[i] != self.image[j] and (s := self.score(i, j)) is not None:
+                if (s := self.near[i].get(j)) is not None:
                     yield s, i, j
 
+    def neighbours(self, a: _Cluster) -> list[_Cluster]:
+        """The other clusters with a member that a representative of a scores with."""
+        return [self.clusters[i] for i in {self.home[j] for r in self.representatives(a) for j in self.near[r]} - {a.id}]
+
     def mergeable(self, a: _Cluster, b: _Cluster) -> bool:
         return (a.anchored or b.anchored) and a.images.isdisjoint(b.images)
 
@@ -121,6 +106,8 @@ class Agglomeration:
         a.anchored = a.anchored or b.anchored
         a.version += 1
         a.reps = []
+        for i in b.members:
+            self.home[i] = a.id
         del self.clusters[b.id]
         return a
 
@@ -134,10 +121,10 @@ class Agglomeration:
             if self.mergeable(a, b) and (best := max((s for s, *_ in self._pairs(a, b)), default=None)) is not None:
                 heapq.heappush(heap, (-best, a.id, b.id, a.version, b.version))
 
-        start = list(self.clusters.values())
-        for n, a in enumerate(start):
-            for b in start[n + 1 :]:
-                offer(a, b)
+        for a in self.clusters.values():
+            for b in self.neighbours(a):
+                if a.id < b.id:
+                    offer(a, b)
         served = []
         while heap:
             key, i, j, vi, vj = heapq.heappop(heap)
@@ -149,9 +136,8 @@ class Agglomeration:
             if not merged:
                 break
             self.join(a, b)
-            for other in list(self.clusters.values()):
-                if other is not a:
-                    offer(a, other)
+            for other in self.neighbours(a):
+                offer(a, other)
         return served
 
     def replay(self, merges: list[tuple[int, int]]) -> dict[int, int]:
@@ -167,7 +153,7 @@ class Agglomeration:
                     continue
                 score, crossed = None, False
                 for r in self.representatives(t):
-                    s = self.score(i, r) if self.image[i] != self.image[r] else None
+                    s = self.near[i].get(r)
                     if s is not None and (score is None or s > score):
                         score, crossed = s, self.cross(i, r)
                 if score is not None and score >= (self.c.cross_merge if crossed else self.c.merge) and score > best:
@@ -180,8 +166,8 @@ class Agglomeration:
 
 
 def _merges(c: Config) -> Callable:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        loop = Agglomeration(rows, c)
+    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        loop = Agglomeration(rows, pairs, c)
         served = loop.run()
         out = pd.DataFrame(served, columns=["score", "i", "j", "merged"])
         out["id1"] = [loop.ids[i] for i in out["i"]]
@@ -194,11 +180,11 @@ def _merges(c: Config) -> Callable:
 
 
 def _assigned(c: Config) -> Callable:
-    def run(key: tuple, rows: pd.DataFrame, merges: pd.DataFrame) -> pd.DataFrame:
-        loop = Agglomeration(rows, c)
+    def run(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        merges = pairs[pairs["seq"].notna()].sort_values("seq")
+        loop = Agglomeration(rows, pairs[pairs["seq"].isna()], c)
         at = {o: n for n, o in enumerate(loop.ids)}
-        merges = merges.sort_values("seq")
-        first = loop.replay([(at[a], at[b]) for a, b in zip(merges["id1"], merges["id2"], strict=True)])
+        first = loop.replay([(at[a], at[b]) for a, b in zip(merges["a"], merges["b"], strict=True)])
         out = pd.DataFrame({"observation_id": list(first), "first_id": list(first.values())}, dtype="int64")
         out.insert(0, "event_name", key[0])
         return out
@@ -232,11 +218,17 @@ def standing(merges: DataFrame) -> DataFrame:
 def cluster(obs: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """event_name, observation_id, cluster_id for every observation; null where it belongs to no confirmed cluster."""
     rows = staged(scoring.prepared(obs, c), "cluster")
-    edges = staged(scoring.pair_scores(rows, c, anchored=False).where(F.col("score") >= c.edge).select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b")), "cluster")
-    grouped = staged(rows.join(component_labels(edges), ["event_name", "observation_id"]).select(*_PREPARED, "component"), "cluster")
-    merges = grouped.groupBy("event_name", "component").applyInPandas(_merges(c), "event_name string, component long, seq long, score double, id1 long, id2 long, merged boolean")
-    kept = standing(staged(merges, "cluster"))
-    found = grouped.groupBy("event_name", "component").cogroup(kept.groupBy("event_name", "component")).applyInPandas(_assigned(c), "event_name string, observation_id long, first_id long")
+    # Scores a little beneath the threshold may count as equal to one above.
+    pairs = scoring.pair_scores(rows, c, anchored=False).where(F.col("score") >= c.edge - 2 * NEAR)
+    pairs = staged(pairs.select("event_name", F.col("observation_id_a").alias("a"), F.col("observation_id_b").alias("b"), "score"), "cluster")
+    labels = staged(component_labels(pairs), "cluster")
+    key = ["event_name", "component"]
+    grouped = staged(rows.drop("face", "body").join(labels, ["event_name", "observation_id"]), "cluster")
+    pairs = staged(pairs.join(labels.withColumnRenamed("observation_id", "a"), ["event_name", "a"]).select(*key, "a", "b", "score"), "cluster")
+    merges = grouped.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(_merges(c), "event_name string, component long, seq long, score double, id1 long, id2 long, merged boolean")
+    kept = standing(staged(merges, "cluster")).select(*key, F.col("id1").alias("a"), F.col("id2").alias("b"), F.lit(None).cast("double").alias("score"), "seq")
+    both = pairs.withColumn("seq", F.lit(None).cast("long")).unionByName(kept)
+    found = grouped.groupBy(*key).cogroup(both.groupBy(*key)).applyInPandas(_assigned(c), "event_name string, observation_id long, first_id long")
     return compact(obs, staged(found, "cluster"))
 
 
@@ -260,9 +252,7 @@ def run_stats(obs: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def rejections(rows: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """First-pass pairs per event that are turned down: not mergeable (same image or no anchor), or without a score."""
-    a = rows.select("event_name", *[F.col(n).alias(f"{n}_a") for n in _PREPARED[1:]])
-    b = rows.select(F.col("event_name").alias("event_b"), *[F.col(n).alias(f"{n}_b") for n in _PREPARED[1:]])
-    pairs = a.join(b, (F.col("event_name") == F.col("event_b")) & (F.col("observation_id_a") < F.col("observation_id_b")))
+    pairs = scoring.every_pair(rows.select(*_PREPARED))
     barred = (F.col("image_id_a") == F.col("image_id_b")) | ~(F.col("anchor_a") | F.col("anchor_b"))
     pairs = scoring.scored(pairs.withColumn("barred", barred), c, keep_all=True)
     return pairs.groupBy("event_name").agg(F.count_if("barred").alias("rejected_same_image"), F.count_if(~F.col("barred") & F.col("score").isNull()).alias("rejected_low_similarity"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JOB_STATES, Config
 
 
+T = TypeVar("T")
+
+
 def _when(jobs: DataFrame, cond: Column, **new: Column) -> DataFrame:
     cond = F.coalesce(cond, F.lit(False))
     return jobs.withColumns({n: F.when(cond, v).otherwise(F.col(n)) for n, v in new.items()})
@@ -87,6 +94,13 @@ def check_complete(jobs: DataFrame) -> None:
         raise RuntimeError("jobs not done: " + ", ".join(f"{r['count']} {r['status']}" for r in sorted(left)))
 
 
+def unfinished(jobs: DataFrame) -> DataFrame:
+    """Events that aren't ready for what follows, and why: jobs pending or processed, or none at all that succeeded."""
+    rows = jobs.groupBy("event_name").agg(F.count_if(F.col("status").isin("PENDING", "PROCESSING")).alias("open"), F.count_if(F.col("status") == "COMPLETED").alias("done"))
+    why = F.when(F.col("open") > 0, F.format_string("%d jobs not done", "open")).when(F.col("done") == 0, "no image could be processed")
+    return rows.select("event_name", why.alias("reason")).where("reason is not null")
+
+
 def progress(counted: DataFrame, phase: str = "images") -> DataFrame:
     """Percent of images done per event, and of the whole run; phases after the images stand at fixed marks."""
     # Where the phases stand.
@@ -141,3 +155,16 @@ def is_retriable(status: Column) -> Column:
     """By HTTP status; errors without one are retriable."""
     # The states worth another attempt.
     return status.isNull() | status.isin(429, 500, 502, 503, 504)
+
+
+def with_retry(operation: Callable[[], T], retries: int = 5, status: Callable[[Exception], int | None] = lambda e: getattr(e, "status", None), wait: Callable[[float], None] = time.sleep) -> T:
+    """operation(), again after a pause where it fails in a way worth another attempt; the last failure is raised."""
+    for n in range(retries + 1):
+        try:
+            return operation()
+        except Exception as e:
+            # The states worth another attempt; errors without one are, too.
+            if n == retries or status(e) not in (None, 429, 500, 502, 503, 504):
+                raise
+            wait(min(2.0**n, 10.0))
+    raise AssertionError

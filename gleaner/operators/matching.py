@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import paths as P
 from ..functions import vector as V
+from .scoring import dealt
 
 
 def references(faces: DataFrame) -> DataFrame:
-    """One row per reference image (its face of largest confidence, the first of equals): name, phone, unit vector, place.
+    """One row per reference image: name, phone, unit vector, place.
 
-    faces: event_name, image_path, face_ord, confidence, embedding.
+    faces: event_name, image_path, face_ord, confidence, embedding, and maybe bbox.  Of an image's faces with an embedding
+    that of largest confidence counts, of equals the largest, then the first.
     """
-    first = Window.partitionBy("event_name", "image_path").orderBy(F.desc("confidence"), "face_ord")
-    best = faces.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    b = F.col("bbox") if "bbox" in faces.columns else None
+    area = F.lit(0) if b is None else F.coalesce(F.greatest(b["x2"] - b["x1"], F.lit(0)) * F.greatest(b["y2"] - b["y1"], F.lit(0)), F.lit(0))
+    first = Window.partitionBy("event_name", "image_path").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), area.desc(), "face_ord")
+    best = faces.where("embedding is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     in_order = Window.partitionBy("event_name").orderBy("image_path")
     out = best.select(
         "event_name", "image_path", P.person_name(F.col("image_path")).alias("person_name"), P.phone_number(F.col("image_path")).alias("phone_number"),
@@ -35,7 +39,11 @@ def similarities(obs: DataFrame, assignments: DataFrame, refs: DataFrame) -> Dat
     """Each assigned valid face with each reference of its event."""
     faces = obs.where("face_embedding_valid and face_embedding is not null").select("event_name", "observation_id", V.normalise_finite_norm(F.col("face_embedding")).alias("face"))
     faces = faces.join(assignments.where("cluster_id is not null").select("event_name", "observation_id", "cluster_id"), ["event_name", "observation_id"])
-    both = faces.join(refs.select("event_name", "person_name", "image_path", "reference_ord", "embedding"), "event_name")
+    # A large event's faces are dealt over tasks, its references go to all of them.
+    faces = dealt(faces)
+    blocks = faces.select("event_name", "block").distinct()
+    known = refs.select("event_name", "person_name", "image_path", "reference_ord", "embedding").join(blocks, "event_name")
+    both = faces.drop("blocks").join(known, ["event_name", "block"]).drop("block")
     return both.withColumn("score", V.dot(F.col("face"), F.col("embedding"))).where("score > -1").drop("face", "embedding")
 
 

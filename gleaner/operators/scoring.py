@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -23,6 +25,26 @@ def prepared(obs: DataFrame, c: Config = DEFAULT) -> DataFrame:
     )
 
 
+#: Observations of a block; the pairs of an event are dealt over tasks by the blocks of both sides.
+BLOCK = 1024
+
+
+def dealt(rows: DataFrame, by: str = "observation_id") -> DataFrame:
+    """rows with `block`, of about BLOCK rows of their event each, and how many `blocks` the event has."""
+    many = rows.groupBy("event_name").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return rows.join(many, "event_name").withColumn("block", F.pmod(F.xxhash64(F.lit(17), by), F.col("blocks")).cast("int"))
+
+
+def every_pair(rows: DataFrame, on: Callable[[], Column] | None = None) -> DataFrame:
+    """Sides _a and _b of all pairs of an event with a before b (and on); each pair of blocks is a key of its own."""
+    rows = dealt(rows)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = _side(rows.withColumn("y", other).withColumnRenamed("block", "x").drop("blocks"), "a")
+    b = _side(rows.withColumn("x", other).withColumnRenamed("block", "y").drop("blocks"), "b").withColumnRenamed("event_name", "event_b")
+    cond = (F.col("event_name") == F.col("event_b")) & (F.col("x_a") == F.col("x_b")) & (F.col("y_a") == F.col("y_b")) & (F.col("observation_id_a") < F.col("observation_id_b"))
+    return a.join(b, cond & on() if on else cond).drop("event_b", "x_a", "x_b", "y_a", "y_b")
+
+
 def _side(rows: DataFrame, s: str) -> DataFrame:
     return rows.select("event_name", *[F.col(n).alias(f"{n}_{s}") for n in rows.columns if n != "event_name"])
 
@@ -50,11 +72,12 @@ def scored(pairs: DataFrame, c: Config = DEFAULT, keep_all: bool = False) -> Dat
 
 def pair_scores(rows: DataFrame, c: Config = DEFAULT, anchored: bool = True) -> DataFrame:
     """All scored pairs of an event: a before b, other images, one side anchored (unless told otherwise)."""
-    a, b = _side(rows, "a"), _side(rows, "b").withColumnRenamed("event_name", "event_b")
-    on = (F.col("event_name") == F.col("event_b")) & (F.col("observation_id_a") < F.col("observation_id_b")) & (F.col("image_id_a") != F.col("image_id_b"))
-    if anchored:
-        on = on & (F.col("anchor_a") | F.col("anchor_b"))
-    pairs = scored(a.join(b, on), c)
+
+    def on() -> Column:
+        apart = F.col("image_id_a") != F.col("image_id_b")
+        return apart & (F.col("anchor_a") | F.col("anchor_b")) if anchored else apart
+
+    pairs = scored(every_pair(rows, on), c)
     return pairs.select("event_name", "observation_id_a", "observation_id_b", "face_similarity", "body_similarity", "cross_pose", "score")
 
 

@@ -82,6 +82,25 @@ def person_manifest(rows: DataFrame, matches: DataFrame, c: Config = DEFAULT) ->
     return files.select("event_name", "person_folder", "kind", F.col("image_id").alias("source"), F.when(F.col("nth") > 1, late).otherwise(F.col("name")).alias("dest_name"))
 
 
+def representative_crops(rows: DataFrame, matches: DataFrame, sizes: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """The picture of each person: event_name, person_folder, kind, source, crop rectangle, dest_name.
+
+    sizes: event_name, image_id, width, height.  A face without room in its image gives none.
+    """
+    first = rows.groupBy("event_name", "cluster_id", "image_id").agg(F.min("observation_id").alias("first_id"))
+    named = one_per_image(rows).join(matches.select("event_name", "cluster_id", "person_name"), ["event_name", "cluster_id"]).join(first, ["event_name", "cluster_id", "image_id"])
+    best = person_representative(named, c).join(sizes, ["event_name", "image_id"])
+    best = best.withColumn("crop", G.padded(F.col("face_bbox"), F.col("width"), F.col("height"), c.face_padding))
+    return best.where("crop is not null").select("event_name", P.person_folder(F.col("person_name")).alias("person_folder"), F.lit("representative").alias("kind"), F.col("image_id").alias("source"), "crop", F.lit("representative Image.jpg").alias("dest_name"))
+
+
+def cluster_crops(rows: DataFrame, sizes: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """The picture of each cluster, in a folder of representatives; columns as of representative_crops, but folder."""
+    best = cluster_representative(rows.where("cluster_id is not null"), c).join(sizes, ["event_name", "image_id"])
+    best = best.withColumn("crop", G.padded(F.col("face_bbox"), F.col("width"), F.col("height"), c.face_padding))
+    return best.where("crop is not null").select("event_name", F.lit("representatives").alias("folder"), F.col("image_id").alias("source"), "crop", F.format_string("cluster_%03d.jpg", "cluster_id").alias("dest_name"))
+
+
 def cluster_manifest(rows: DataFrame) -> DataFrame:
     """Files for looking at clusters: a folder per cluster and one for what belongs to none, each image once."""
     folder = F.when(F.col("cluster_id").isNull(), "noise").otherwise(F.format_string("cluster_%03d", "cluster_id"))

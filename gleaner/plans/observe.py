@@ -71,6 +71,17 @@ def observe(found: DataFrame, c: Config = DEFAULT) -> DataFrame:
     )
 
 
+def reference_faces(images: DataFrame, decode: Callable[[bytes], np.ndarray], faces: Callable) -> DataFrame:
+    """Faces of reference images, for matching.references: event_name, image_path, face_ord, bbox, confidence, embedding.
+
+    images: event_name, image_path, content.  Images that can't be read and those without a face give no row; their names
+    still count for matching.contacts.
+    """
+    run = lambda image, _: [{k: v for k, v in _row("face", n, f, f["embedding"], 0.0).items() if k in ("ord", "bbox", "confidence", "embedding")} for n, f in enumerate(faces(image))]
+    found = files.decoded(images.withColumnRenamed("image_path", "image_id"), decode, run, f"ord int, bbox {_BOX}, confidence double, embedding array<float>")
+    return found.where("error is null").select("event_name", F.col("image_id").alias("image_path"), F.col("ord").alias("face_ord"), "bbox", "confidence", "embedding")
+
+
 def failures(found: DataFrame) -> DataFrame:
     """Images that could not be worked on."""
     return found.where("error is not null").select("event_name", "image_id", "error").distinct()

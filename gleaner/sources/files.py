@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +33,17 @@ def reference_images(spark: SparkSession, root: str, c: Config = DEFAULT) -> Dat
     return rows.withColumn("reference_ord", F.row_number().over(Window.partitionBy("event_name").orderBy("path"))).select("event_name", F.col("path").alias("image_path"), "reference_ord", "length", "content")
 
 
+def image_index(spark: SparkSession, root: str, c: Config = DEFAULT) -> DataFrame:
+    """Gallery images to look observations up by: event_name, image_id, path (absolute).  AVIF files aren't listed."""
+    return gallery(spark, root, c).where(P.extension(F.col("path")) != ".avif").select("event_name", "image_id", "path")
+
+
+def check_root(root: str, needed: tuple[str, ...]) -> None:
+    """RuntimeError where files that a root must have aren't there."""
+    if missing := [n for n in needed if not Path(root, n).is_file()]:
+        raise RuntimeError(f"not a project root: {root}; missing: {', '.join(missing)}")
+
+
 def events(spark: SparkSession, root: str, c: Config = DEFAULT) -> list[str]:
     """Names of the event directories, by case-folded name."""
     jvm = spark.sparkContext._jvm

@@ -14,7 +14,8 @@ def env_rows(lines: DataFrame) -> DataFrame:
     line = F.trim("value")
     parts = F.split(line, "=", 2)
     rows = lines.where((line != "") & ~line.startswith("#") & F.contains(line, F.lit("=")))
-    value = F.regexp_replace(F.trim(F.element_at(parts, 2)), "^[\"']+|[\"']+$", "")
+    # Double quotes go first, then single ones: what double quotes inside single ones enclose stays.
+    value = F.regexp_replace(F.regexp_replace(F.trim(F.element_at(parts, 2)), '^"+|"+$', ""), "^'+|'+$", "")
     return rows.withColumn("key", F.trim(F.element_at(parts, 1))).withColumn("value", value)
 
 
@@ -23,13 +24,15 @@ def read_env(path: str) -> dict[str, str]:
     for line in Path(path).read_text(encoding="utf-8").splitlines():
         key, eq, value = line.strip().partition("=")
         if eq and not key.startswith("#"):
-            found[key.strip()] = value.strip().strip("\"'")
+            found[key.strip()] = value.strip().strip('"').strip("'")
     return found
 
 
 def write_env(path: str, updates: dict[str, str]) -> None:
-    """Sets keys where they stand and adds the others at the end."""
-    file, left = Path(path), dict(updates)
+    """Sets keys where they stand and adds the others at the end; the file as it was first is kept beside it, with `.bak`."""
+    file, keep, left = Path(path), Path(f"{path}.bak"), dict(updates)
+    if file.exists() and not keep.exists():
+        keep.write_bytes(file.read_bytes())
     lines = file.read_text(encoding="utf-8").splitlines() if file.exists() else []
     for n, line in enumerate(lines):
         key = line.partition("=")[0].strip()
@@ -45,12 +48,12 @@ def _constants(tree: ast.Module):
 
 
 def read_constants(path: str) -> dict:
-    """Literals that a Python file assigns at its top level; the last assignment of a name counts."""
-    found = {}
-    for name, value in _constants(ast.parse(Path(path).read_text(encoding="utf-8"))):
+    """Literals that a Python file assigns at its top level; the last assignment of a name counts.  No file: none."""
+    found, file = {}, Path(path)
+    for name, value in _constants(ast.parse(file.read_text(encoding="utf-8") if file.exists() else "")):
         try:
             found[name] = ast.literal_eval(value)
-        except ValueError:
+        except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
             continue
     return found
 
