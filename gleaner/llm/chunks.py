@@ -3,8 +3,9 @@
 A gear rolling hash over the UTF-8 bytes (window 16) cuts each text wherever it is small, and in stretches without such a
 place (periodic ones have none) at its local minima; so equal passages are cut alike wherever they stand, and an insertion
 moves no cut further away than a window.  Chunks are told apart by 96 bits of their digest.  Runs of neighbouring chunks that
-other documents hold too, of LEAST_WORDS words or more, are repeated passages; the document with the smallest doc_id that
-holds a chunk keeps it.
+other documents hold too, of LEAST_WORDS words or more, are repeated passages where the passage can have more than LONGER
+words: its ends lie in the chunks before and after the run, or, as cuts see WINDOW bytes back, a few words further, so it has
+hardly more words than these three together and ENDS.  The document with the smallest doc_id that holds a chunk keeps it.
 
 LEAST_WORDS stays below what is left of a passage of more than 50 words without its outer chunks, and above the set phrases
 that unrelated documents share.
@@ -32,14 +33,15 @@ MEAN, LEAST, MOST = 32, 8, 256
 WINDOW = 16
 #: Stretches of more than twice as many bytes without a cut are cut at minima over as many on either side.
 REACH = 32
-LEAST_WORDS = 12
+LEAST_WORDS, LONGER, ENDS = 12, 50, 5
 #: One 16-bit number for each byte, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2026) & 0xFFFF for b in range(256)], np.uint16)
 _SMALL = np.uint16((1 << 16) // MEAN)
 #: Bytes of text worked on at a time.
 _BLOCK = 4 << 20
 #: at: start, size and words of a chunk in one number, as shuffles carry it.
-SCHEMA = "row long, doc_id long, at long, d1 long, d2 int"
+#: beside: words of the chunk before it and of the one after it, in a byte each.
+SCHEMA = "row long, doc_id long, at long, beside int, d1 long, d2 int"
 _SIZE_BITS, _WORD_BITS = 12, 12
 
 
@@ -116,11 +118,15 @@ def _chunk(ids: pa.Array, texts: pa.Array, first_row: int) -> pa.RecordBatch:
     d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]), [("a", "<i8"), ("b", "<i4"), ("c", "<i4")])
     start, size, many = chars[at[:-1]] - chars[offsets[doc]], chars[at[1:]] - chars[at[:-1]], words[at[1:]] - words[at[:-1]]
     spot = (start.astype(np.int64) << (_SIZE_BITS + _WORD_BITS)) | (size << _WORD_BITS) | many
-    cols = [pa.array(doc + first_row, pa.int64()), ids.take(pa.array(doc)), pa.array(spot), pa.array(d["a"].copy()), pa.array(d["b"].copy())]
+    before, after = np.zeros(len(many), np.int32), np.zeros(len(many), np.int32)
+    same = doc[1:] == doc[:-1]
+    before[1:][same], after[:-1][same] = many[:-1][same], many[1:][same]
+    beside = (before << 8) | after  # a chunk of MOST bytes has at most half as many words
+    cols = [pa.array(doc + first_row, pa.int64()), ids.take(pa.array(doc)), pa.array(spot), pa.array(beside, pa.int32()), pa.array(d["a"].copy()), pa.array(d["b"].copy())]
     return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
 
 
-_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("d1", pa.int64()), ("d2", pa.int32())])
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("beside", pa.int32()), ("d1", pa.int64()), ("d2", pa.int32())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +143,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per chunk: its text's row, doc_id, its start, size (code points) and words that start in it, and digest.
+    """One row per chunk: its text's row, doc_id, its start, size (code points) and words that start in it, those beside it, and digest.
 
     They are cheaper to work out again than to keep.
     """
     return docs.select("doc_id", text).mapInArrow(_chunks, SCHEMA)
 
 
-def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, longer: int = LONGER) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start_at, end_at (code points), words, first_doc_id, holders, kept, cuts.
 
     holders: the documents that keep its chunks; kept: this document is the only one of them; cuts: the spans of chunks
@@ -158,6 +164,7 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS)
     hits = hits.select(
         "row", "doc_id", "lo", F.shiftright("at", _SIZE_BITS + _WORD_BITS).alias("start"),
         F.shiftright("at", _WORD_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).alias("size"), F.col("at").bitwiseAND((1 << _WORD_BITS) - 1).alias("words"),
+        F.shiftright("beside", 8).alias("before"), F.col("beside").bitwiseAND(255).alias("after"),
     )
     # A run starts where no shared chunk ends.
     order = Window.partitionBy("row").orderBy("start")
@@ -169,19 +176,21 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS)
     parts = hits.groupBy("row", "doc_id", "run", "part").agg(
         F.min("start").cast("int").alias("s"), F.max(F.col("start") + F.col("size")).cast("int").alias("e"), F.sum("words").alias("words"),
         F.min("lo").alias("lo"), F.collect_set("lo").alias("holders"), F.first("own").alias("own"),
+        F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"),
     )
     runs = parts.groupBy("row", "doc_id", "run").agg(
         F.min("s").alias("start_at"), F.max("e").alias("end_at"), F.sum("words").alias("words"), F.min("lo").alias("first_doc_id"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"), F.min("own").alias("kept"),
         F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("s", "e")))).alias("cuts"),
+        (F.sum("words") + F.min_by("before", "s") + F.max_by("after", "s") + ENDS).alias("most"),
     )
-    runs = runs.where(F.col("words") >= least_words)
+    runs = runs.where((F.col("words") >= least_words) & (F.col("most") > longer))
     return runs.select("doc_id", "start_at", "end_at", "words", "first_doc_id", "holders", "kept", "cuts")
 
 
-def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, longer: int = LONGER) -> DataFrame:
     """All documents with their columns; of each repeated chunk only the keeper's stays in its text."""
-    cut = repeats(docs, text, least_words).where("not kept and doc_id is not null").select("doc_id", F.explode("cuts").alias("cut"))
+    cut = repeats(docs, text, least_words, longer).where("not kept and doc_id is not null").select("doc_id", F.explode("cuts").alias("cut"))
     spans = F.array_sort(F.collect_set(F.struct(F.col("cut.s").alias("s"), F.lit(0).alias("k"), F.col("cut.e").alias("e"), F.lit("").alias("m"))))
     spans = cut.groupBy("doc_id").agg(spans.alias("spans"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id").join(spans, "doc_id", "left")
