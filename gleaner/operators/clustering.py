@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, POSES, Config
 from ..sources.scratch import staged
 from . import scoring
+from .numbering import numbered
 
 _PREPARED = ("event_name", "observation_id", "image_id", "pose", "face", "body", "quality", "anchor")
 #: Scores this close to the best one count as the pair that won.
@@ -234,8 +235,8 @@ def cluster(obs: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def compact(obs: DataFrame, found: DataFrame) -> DataFrame:
     """Cluster ids from 0 in the order of their first observation, for every observation."""
-    ids = found.select("event_name", "first_id").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy("event_name").orderBy("first_id")) - 1)
-    named = found.join(ids, ["event_name", "first_id"]).select("event_name", "observation_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    ids = numbered(found.select("event_name", "first_id").distinct(), "event_name", ["first_id"], "nth")
+    named = found.join(ids, ["event_name", "first_id"]).select("event_name", "observation_id", (F.col("nth") - 1).alias("cluster_id"))
     return obs.select("event_name", "observation_id").join(named, ["event_name", "observation_id"], "left")
 
 

@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JOB_STATES, Config
+from .numbering import numbered
 
 
 T = TypeVar("T")
@@ -24,8 +25,7 @@ def enqueue(jobs: DataFrame, images: DataFrame, now: float) -> DataFrame:
     """New PENDING rows for the images that have no job yet; ids go on from the largest."""
     fresh = images.select("event_name", "image_id", "image_path").dropDuplicates(["event_name", "image_id"]).join(jobs, ["event_name", "image_id"], "left_anti")
     top = jobs.groupBy("event_name").agg(F.max("job_id").alias("top"))
-    nth = F.row_number().over(Window.partitionBy("event_name").orderBy("image_id"))
-    fresh = fresh.withColumn("nth", nth).join(top, "event_name", "left")
+    fresh = numbered(fresh, "event_name", ["image_id"], "nth").join(top, "event_name", "left")
     null = lambda t: F.lit(None).cast(t)
     return fresh.select(
         "event_name", (F.coalesce("top", F.lit(0)) + F.col("nth")).cast("long").alias("job_id"), "image_id", "image_path", F.lit("PENDING").alias("status"), null("string").alias("worker_id"),
@@ -142,8 +142,8 @@ def next_ids(obs: DataFrame) -> DataFrame:
 
 def renumber(obs: DataFrame, first: DataFrame) -> DataFrame:
     """New observations numbered per event by image and place in it, from next_id on."""
-    nth = F.row_number().over(Window.partitionBy("event_name").orderBy("image_id", "local_ord")) - 1
-    return obs.withColumn("_nth", nth).join(first, "event_name", "left").withColumn("observation_id", (F.coalesce("next_id", F.lit(0)) + F.col("_nth")).cast("long")).drop("_nth", "next_id")
+    rows = numbered(obs, "event_name", ["image_id", "local_ord"], "_nth").join(first, "event_name", "left")
+    return rows.withColumn("observation_id", (F.coalesce("next_id", F.lit(0)) + F.col("_nth") - 1).cast("long")).drop("_nth", "next_id")
 
 
 def retry_delays(retries: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT as C
 from gleaner.operators import clustering, jobs, matching, scoring, selection, state
+from gleaner.operators.numbering import numbered
 from gleaner.plans import engine, fixtures, observe
 from gleaner.sources import files, manifest, settings, upload
 from tests.test_sources import JOBS, decode, encode, faces, image, persons
@@ -151,6 +152,17 @@ def test_pairs_are_the_same_in_any_number_of_blocks(spark, monkeypatch):
     assert all_of() == want and all(want)
 
 
+def test_numbers_over_several_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"E{int(e)}", int(i)) for i, e in enumerate(rng.integers(0, 3, 5000) ** 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(str(e), int(i)) for e, i in rows], "event_name string, x long").repartition(5)
+    got = {(r["event_name"], r["x"]): r["nth"] for r in numbered(df, "event_name", ["x"], "nth").collect()}
+    for e in {k[0] for k in got}:
+        assert [got[e, x] for x in sorted(x for k, x in got if k == e)] == list(range(1, sum(k[0] == e for k in got) + 1))
+    assert len(got) == 5000 and numbered(df.limit(0), "event_name", ["x"], "nth").count() == 0
+
+
 def test_settings_as_they_stand(tmp_path):
     env = tmp_path / ".env"
     env.write_text("A='\"x\"'\nB=\"'y'\"\n")
