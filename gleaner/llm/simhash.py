@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are summed at a time (64 bytes each).
 _BLOCK = 1 << 16
+#: Rows of a cell beyond which it is dealt into pairs of blocks.
+CROWD = 1 << 15
 #: Pairs held before they are thinned out.
 _HELD = 1 << 18
 _PAIR = np.uint64(0x5555555555555555)
@@ -135,23 +138,65 @@ def _cells(parts: tuple[tuple[int, int], ...]):
     return run
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Batches sorted by cell, as columns of whole cells: the last cell of a batch waits for the next one."""
-    held: list[list[np.ndarray]] = []
+def _whole_cells(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Batches sorted by cell, as columns of whole cells: the last cell of a batch waits for the next one.
+
+    A cell with more than `most` rows comes in parts, marked false.
+    """
+    whole = lambda parts: [np.concatenate(x) for x in zip(*parts, strict=True)]
+    held, rows, large, current = [], 0, False, None
     for b in batches:
         if not b.num_rows:
             continue
         cols = [x.to_numpy() for x in b.columns]
         cell = cols[0]
-        if held and cell[-1] == held[0][0][0]:
-            held.append(cols)
+        begin = 0 if current is None else int(np.searchsorted(cell, current, "right"))  # so far the waiting cell goes on
+        held, rows = [*held, [x[:begin] for x in cols]], rows + begin
+        if most is not None and rows and (large or rows > most):
+            yield False, whole(held)
+            held, rows, large = [], 0, True
+        if begin == len(cell):
             continue
         cut = int(np.searchsorted(cell, cell[-1]))
-        if held or cut:
-            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in cols], strict=True)]
-        held = [[x[cut:] for x in cols]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        if rows + cut - begin:
+            yield True, whole([*held, [x[begin:cut] for x in cols]])
+        held, rows, large, current = [[x[cut:] for x in cols]], len(cell) - cut, False, cell[-1]
+    if rows:
+        yield most is None or not (large or rows > most), whole(held)
+
+
+def _by_cell(cells: DataFrame, work, schema: str, crowd: int | None = None) -> DataFrame:
+    """work(columns of whole cells, sorted by cell and size) of all cells; those of more than `crowd` rows in pairs of blocks.
+
+    A block has about half as many rows, and each pair of blocks is a cell of its own, so no task holds a large cell.
+    """
+    crowd = crowd or CROWD
+    names, order = cells.columns, [c for c in ("cell", "size") if c in cells.columns]
+    out = pa.schema([(f.split()[0], {"long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in schema.split(", ")])
+
+    def once(most: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = next(batches, None)
+            for whole, cols in _whole_cells(chain([first], batches) if first else (), most):
+                if whole:
+                    got = work(cols)
+                    yield pa.RecordBatch.from_arrays([*got.columns, *[pa.nulls(got.num_rows, f.type) for f in first.schema]], [*out.names, *names])
+                else:
+                    rest = [pa.array(x, f.type) for x, f in zip(cols, first.schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(cols[0]), f.type) for f in out], *rest], [*out.names, *names])
+
+        kept = ", ".join([schema, *[f"{f.name} {f.dataType.simpleString()}" for f in cells.schema]])
+        return lambda rows: rows.repartition("cell").sortWithinPartitions(*order).mapInArrow(run, kept)
+
+    found = staged(once(crowd)(cells), "simhash-cells")
+    done, rest = found.where("cell is null").select(*out.names), found.where("cell is not null").select(*names)
+    if rest.isEmpty():
+        return done
+    blocks = rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) * 2 / crowd).cast("int").alias("blocks"))
+    rest = spread_join(rest, blocks.drop("n"), ["cell"], hot_keys(blocks, ["cell"]), F.col("fp"))
+    rest = rest.withColumn("x", F.pmod(F.xxhash64(F.lit(9), "fp"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("cell", F.least("x", "y"), F.greatest("x", "y"))
+    return done.unionByName(once(None)(rest.withColumn("cell", pair).select(*names)).select(*out.names))
 
 
 def _meetings(cell: np.ndarray, size: np.ndarray | None = None, alike: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,25 +254,24 @@ class _Forest:
 
 
 def _forest(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, fp in _whole_cells(batches):
-            fp = fp.view(np.uint64)
-            names, node = np.unique(fp, return_inverse=True)
-            forest = _Forest(len(names))
-            for i, j in _meetings(cell):
-                on = _linked(fp[i], fp[j], most)
-                forest.add(node[i[on]], node[j[on]])
-            yield pa.RecordBatch.from_arrays([_signed(names[np.array(x, np.int64)]) for x in (forest.a, forest.b)], ["a", "b"])
+    def work(cols: list[np.ndarray]) -> pa.RecordBatch:
+        cell, fp = cols[0], cols[1].view(np.uint64)
+        names, node = np.unique(fp, return_inverse=True)
+        forest = _Forest(len(names))
+        for i, j in _meetings(cell):
+            on = _linked(fp[i], fp[j], most)
+            forest.add(node[i[on]], node[j[on]])
+        return pa.RecordBatch.from_arrays([_signed(names[np.array(x, np.int64)]) for x in (forest.a, forest.b)], ["a", "b"])
 
-    return run
+    return work
 
 
-def links(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
+def links(distinct: DataFrame, most: int = DISTANCE, crowd: int | None = None) -> DataFrame:
     """(fp) distinct -> (a, b): edges that connect exactly the fingerprints that links of at most `most` bits connect."""
     if most > 4:
         raise ValueError("the grid's reach of one step on both sides covers at most 4 bits")
     cells = distinct.select("fp").mapInArrow(_cells(HALVES), "cell long, fp long")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forest(most), "a long, b long")
+    return _by_cell(cells, _forest(most), "a long, b long", crowd)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", most: int = DISTANCE) -> DataFrame:
@@ -271,12 +315,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "set"])
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(cols: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of cells, by size -> (a, b, crowd): candidates, each row's NEAREST, and a forest of the candidates in crowds.
 
     A crowd is what hangs together in a cell where a row has more candidates than that.
     """
 
+    cell, node, fp, check, size = cols
+
     def thin(row: np.ndarray, other: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((other, bits, row))
         row, other, bits = row[order], other[order], bits[order]
@@ -285,37 +331,36 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worst[row[nth == NEAREST - 1]] = bits[nth == NEAREST - 1]
         return row[nth < NEAREST], other[nth < NEAREST], bits[nth < NEAREST]
 
-    for cell, node, fp, check, size in _whole_cells(batches):
-        fp, check = fp.view(np.uint64), check.view(np.uint64)
-        many, worst = np.zeros(len(cell), np.int64), np.full(len(cell), 65)
-        forest, held, n = _Forest(len(cell)), [], 0
-        for i, j in _meetings(cell, size, ALIKE):
-            bits = np.bitwise_count(fp[i] ^ fp[j])
-            on = np.flatnonzero(bits <= NEAR_BITS)
-            on = on[np.bitwise_count(check[i[on]] ^ check[j[on]]) <= CHECK_BITS]
-            if not len(on):
-                continue
-            i, j, bits = i[on], j[on], bits[on]
-            many[i] += 1
-            many[j] += 1
-            forest.add(i, j)
-            for x, y in ((i, j), (j, i)):
-                on = bits < worst[x]
-                held.append((x[on], y[on], bits[on]))
-                n += len(held[-1][0])
-            if n > _HELD:
-                held = [thin(*map(np.concatenate, zip(*held, strict=True)))]
-                n = 0
-        if not held:
+    fp, check = fp.view(np.uint64), check.view(np.uint64)
+    many, worst = np.zeros(len(cell), np.int64), np.full(len(cell), 65)
+    forest, held, n = _Forest(len(cell)), [], 0
+    for i, j in _meetings(cell, size, ALIKE):
+        bits = np.bitwise_count(fp[i] ^ fp[j])
+        on = np.flatnonzero(bits <= NEAR_BITS)
+        on = on[np.bitwise_count(check[i[on]] ^ check[j[on]]) <= CHECK_BITS]
+        if not len(on):
             continue
-        row, other, _ = thin(*map(np.concatenate, zip(*held, strict=True)))
-        a, b = np.array(forest.a), np.array(forest.b)
-        root = forest.roots()
-        crowded = np.isin(root[a], root[many > NEAREST])
-        x, y = np.concatenate([row, a[crowded]]), np.concatenate([other, b[crowded]])
-        crowd = np.repeat([False, True], [len(row), int(crowded.sum())])
-        x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(crowd)], ["a", "b", "crowd"])
+        i, j, bits = i[on], j[on], bits[on]
+        many[i] += 1
+        many[j] += 1
+        forest.add(i, j)
+        for x, y in ((i, j), (j, i)):
+            on = bits < worst[x]
+            held.append((x[on], y[on], bits[on]))
+            n += len(held[-1][0])
+        if n > _HELD:
+            held = [thin(*map(np.concatenate, zip(*held, strict=True)))]
+            n = 0
+    if not held:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["a", "b", "crowd"])
+    row, other, _ = thin(*map(np.concatenate, zip(*held, strict=True)))
+    a, b = np.array(forest.a), np.array(forest.b)
+    root = forest.roots()
+    crowded = np.isin(root[a], root[many > NEAREST])
+    x, y = np.concatenate([row, a[crowded]]), np.concatenate([other, b[crowded]])
+    crowd = np.repeat([False, True], [len(row), int(crowded.sum())])
+    x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(crowd)], ["a", "b", "crowd"])
 
 
 def _tile(rows: pa.Table) -> pa.Table:
@@ -338,13 +383,13 @@ def _tile(rows: pa.Table) -> pa.Table:
     return pa.table({"a": node[np.array(forest.a, int)], "b": node[np.array(forest.b, int)]})
 
 
-def alike(texts: DataFrame, sets) -> DataFrame:
+def alike(texts: DataFrame, sets, crowd: int | None = None) -> DataFrame:
     """(node, fp, check, size) distinct -> (a, b): verified pairs that connect what all verified candidates connect.
 
     sets(nodes) gives (node, set) of those nodes.
     """
     cells = texts.select("node", "fp", "check", "size").mapInArrow(_cells(THIRDS), "cell long, node long, fp long, check long, size int")
-    found = cells.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(_nearest, "a long, b long, crowd boolean")
+    found = _by_cell(cells, _nearest, "a long, b long, crowd boolean", crowd)
     found = staged(found.distinct(), "near-candidates")
     held = staged(sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-sets")
     pairs = found.where("not crowd")
@@ -363,7 +408,7 @@ def alike(texts: DataFrame, sets) -> DataFrame:
     return good.unionByName(tiles.groupBy("root", "lo", "hi").applyInArrow(_tile, "a long, b long"))
 
 
-def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", crowd: int | None = None) -> DataFrame:
     """The documents, one row of each group of alike texts: the one with the smallest doc_id."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.where("doc_id is not null").select(F.col(f"`{text}`").alias("text"), whole, F.monotonically_increasing_id().alias("row"))
@@ -377,7 +422,7 @@ def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
         chosen = texts.join(nodes, "node").select(F.col("best.row").alias("row"))
         return rows.join(chosen, "row", "left_semi").select("node", F.col(f"whole.`{text}`").alias("text")).mapInArrow(_sets, "node long, set array<long>")
 
-    roots = components(alike(texts, sets))
+    roots = components(alike(texts, sets, crowd))
     best = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("whole.*").unionByName(docs.where("doc_id is null"))
 

@@ -234,6 +234,28 @@ def test_links_lose_nothing_in_crowded_cells(spark):
         want[root].add(s)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert any(len(v) > 40 for v in want.values())
+    blocks = {r["node"]: r["root"] for r in components(simhash.links(frame, crowd=6)).collect()}
+    assert {s: blocks.get(s, s) for s in signed} == {s: roots.get(s, s) for s in signed}
+
+
+def test_cells_of_a_batch_stream():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    cell = np.sort(rng.integers(0, 40, 900) ** 2 // 30)
+    cell[200:600] = cell[200]
+    cell.sort()
+    row = np.arange(900)
+    for cuts in ([], [1], [200, 300, 301, 599], sorted(rng.integers(0, 900, 30).tolist())):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c), pa.array(r)], ["cell", "row"]) for c, r in zip(np.split(cell, cuts), np.split(row, cuts), strict=True)]
+        for most in (None, 100, 5):
+            whole, large = [], []
+            for done, (c, r) in simhash._whole_cells(iter(parts), most):
+                (whole if done else large).append((c, r))
+            assert sorted(np.concatenate([r for _, r in whole + large]).tolist()) == row.tolist()
+            seen = [x for c, _ in whole for x in set(c.tolist())]
+            assert len(seen) == len(set(seen)) and not set(seen) & {x for c, _ in large for x in c.tolist()}
+            assert all(np.count_nonzero(cell == x) > most for c, _ in large for x in set(c.tolist()))
 
 
 def test_manhattan_is_a_lower_bound():
@@ -317,6 +339,8 @@ def test_representatives_in_a_crowd(spark, monkeypatch):
     want = alike_components(texts)
     assert sorted(kept) == sorted(set(want.values()))
     assert 20 < len(kept) < 120
+    blocks = simhash.representatives(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), crowd=16).collect()
+    assert sorted(r["doc_id"] for r in blocks) == sorted(kept)
 
 
 def test_representatives_go_by_row(spark):
