@@ -10,8 +10,8 @@ their links, not the links, so a group of near copies stays linear; the componen
 
 `representatives` keeps one document of each group whose five-word shingles are alike by 0.8 (Jaccard).  It looks for
 candidates by fingerprints of two-word shingles, which an edit changes less, in a grid of three thirds (so all pairs within 8
-bits meet, and most within 12), and verifies them exactly on the five-word shingles.  Each row of a cell tries its nearest
-few; what hangs together where a row has more is a crowd, dealt into blocks that meet in pairs, each in a task of its own.
+bits meet, and most within 12), and verifies them exactly on the five-word shingles.  Where a row of a cell has more than a
+few, what hangs together is a crowd, dealt into blocks that meet in pairs, each in a task of its own.
 
 Defined results: null and empty text, or text without words, has fingerprint zero and is linked like any other; every row
 gives a result, repeated ones too; null doc_id is carried, and is a component_id only where no document has an id; an empty
@@ -42,20 +42,18 @@ DISTANCE = 4
 HALVES = ((0, 16), (16, 32))
 #: What `representatives` calls alike: Jaccard similarity of the sets of so many words.
 ALIKE, ALIKE_SHINGLE = 0.8, 5
-#: Its candidates: words of a fingerprint's shingles, grid, most bits, and how many a row tries in a cell at first.
-NEAR_SHINGLE, THIRDS, NEAR_BITS, NEAREST = 2, ((0, 11), (11, 22), (22, 32)), 12, 4
+#: Its candidates: words of a fingerprint's shingles, grid, most bits, and the most a row of no crowd has in a cell.
+NEAR_SHINGLE, THIRDS, NEAR_BITS, FEW = 2, ((0, 11), (11, 22), (22, 32)), 12, 4
 #: Most bits between fingerprints of the five-word shingles; 0.8 means 10 bits of 64 there, with a deviation of 3.
 CHECK_BITS = 18
 #: Shingles of a block of a crowd; a task holds two.
-TILE = 1 << 20
+TILE = 1 << 18
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are summed at a time (64 bytes each).
 _BLOCK = 1 << 16
 #: Rows of a cell beyond which it is dealt into pairs of blocks.
 CROWD = 1 << 15
-#: Pairs held before they are thinned out.
-_HELD = 1 << 18
 _PAIR = np.uint64(0x5555555555555555)
 
 
@@ -315,52 +313,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "set"])
 
 
-def _nearest(cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of cells, by size -> (a, b, crowd): candidates, each row's NEAREST, and a forest of the candidates in crowds.
+def _candidates(cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of cells, by size -> (a, b, crowd): all candidates, or where a row has more than FEW the members of its crowd with their least.
 
-    A crowd is what hangs together in a cell where a row has more candidates than that.
+    A crowd is what hangs together there; its pairs are looked at later.
     """
 
     cell, node, fp, check, size = cols
-
-    def thin(row: np.ndarray, other: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((other, bits, row))
-        row, other, bits = row[order], other[order], bits[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-        worst[row[nth == NEAREST - 1]] = bits[nth == NEAREST - 1]
-        return row[nth < NEAREST], other[nth < NEAREST], bits[nth < NEAREST]
-
     fp, check = fp.view(np.uint64), check.view(np.uint64)
-    many, worst = np.zeros(len(cell), np.int64), np.full(len(cell), 65)
-    forest, held, n = _Forest(len(cell)), [], 0
+    many, forest, held = np.zeros(len(cell), np.int64), _Forest(len(cell)), []
     for i, j in _meetings(cell, size, ALIKE):
-        bits = np.bitwise_count(fp[i] ^ fp[j])
-        on = np.flatnonzero(bits <= NEAR_BITS)
+        on = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= NEAR_BITS)
         on = on[np.bitwise_count(check[i[on]] ^ check[j[on]]) <= CHECK_BITS]
-        if not len(on):
-            continue
-        i, j, bits = i[on], j[on], bits[on]
-        many[i] += 1
-        many[j] += 1
-        forest.add(i, j)
-        for x, y in ((i, j), (j, i)):
-            on = bits < worst[x]
-            held.append((x[on], y[on], bits[on]))
-            n += len(held[-1][0])
-        if n > _HELD:
-            held = [thin(*map(np.concatenate, zip(*held, strict=True)))]
-            n = 0
-    if not held:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["a", "b", "crowd"])
-    row, other, _ = thin(*map(np.concatenate, zip(*held, strict=True)))
-    a, b = np.array(forest.a), np.array(forest.b)
-    root = forest.roots()
-    crowded = np.isin(root[a], root[many > NEAREST])
-    x, y = np.concatenate([row, a[crowded]]), np.concatenate([other, b[crowded]])
-    crowd = np.repeat([False, True], [len(row), int(crowded.sum())])
-    x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(crowd)], ["a", "b", "crowd"])
+        if len(on):
+            i, j = i[on], j[on]
+            many[i] += 1
+            many[j] += 1
+            forest.add(i, j)
+            few = (many[i] <= FEW) & (many[j] <= FEW)
+            held.append((i[few], j[few]))
+    i, j = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
+    root, least = forest.roots(), np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, node)
+    crowded = np.isin(root, root[many > FEW])
+    alone, member = ~crowded[i], np.flatnonzero(crowded & (node != least[root]))
+    crowd = np.repeat([False, True], [int(alone.sum()), len(member)])
+    x, y = np.concatenate([node[i[alone]], least[root[member]]]), np.concatenate([node[j[alone]], node[member]])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(crowd)], ["a", "b", "crowd"])
 
 
 def _tile(rows: pa.Table) -> pa.Table:
@@ -389,14 +368,17 @@ def alike(texts: DataFrame, sets, crowd: int | None = None) -> DataFrame:
     sets(nodes) gives (node, set) of those nodes.
     """
     cells = texts.select("node", "fp", "check", "size").mapInArrow(_cells(THIRDS), "cell long, node long, fp long, check long, size int")
-    found = _by_cell(cells, _nearest, "a long, b long, crowd boolean", crowd)
+    found = _by_cell(cells, _candidates, "a long, b long, crowd boolean", crowd)
     found = staged(found.distinct(), "near-candidates")
     held = staged(sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-sets")
     pairs = found.where("not crowd")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
     good = staged(both.where(F.col("n") >= ALIKE * (F.col("sum") - F.col("n"))).select("a", "b"), "near-alike")
-    crowds = found.where("crowd")
+    # Each member's least is enough if its others are tied to that; it has no more of them than cells.
+    crowds = found.where("crowd").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("ties"))
+    crowds = crowds.select(F.col("ties")[0].alias("a"), F.explode(F.concat(F.array("b"), F.slice("ties", 2, F.size("ties")))).alias("b")).distinct()
+    crowds = staged(crowds, "near-ties")
     if crowds.isEmpty():
         return good
     members = staged(components(crowds).join(held, "node"), "near-crowds")
@@ -419,12 +401,13 @@ def representatives(docs: DataFrame, text: str = "text", crowd: int | None = Non
     texts = staged(texts, "near-classes")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        chosen = texts.join(nodes, "node").select(F.col("best.row").alias("row"))
+        chosen = staged(texts.join(nodes, "node").select(F.col("best.row").alias("row")), "near-chosen")
         return rows.join(chosen, "row", "left_semi").select("node", F.col(f"whole.`{text}`").alias("text")).mapInArrow(_sets, "node long, set array<long>")
 
     roots = components(alike(texts, sets, crowd))
     best = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("whole.*").unionByName(docs.where("doc_id is null"))
+    best = staged(best.select(F.col("best.row").alias("row")), "near-best")  # staged, so that Spark knows its size and texts needn't move where it is small
+    return rows.join(best, "row", "left_semi").select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
