@@ -94,7 +94,7 @@ def faces_and_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     face = G.box(p % 200, s % 100, p % 200 + 20 + p % 40, s % 100 + 20 + p % 40)
     body = G.box((p * 3) % 180, (s * 7) % 80, (p * 3) % 180 + 60 + s % 50, (s * 7) % 80 + 100 + p % 60)
     faces = rows.select("event_name", "image_id", F.col("ord").alias("face_ord"), face.alias("bbox"), (F.lit(0.4) + F.lit(0.01) * (p % 60)).alias("confidence"))
-    bodies = rows.where("ord < 3").select("event_name", "image_id", F.col("ord").alias("body_ord"), body.alias("bbox"), (F.lit(0.3) + F.lit(0.01) * (s % 70)).alias("confidence"), (p % 3).cast("int").alias("class_id"))
+    bodies = rows.select("event_name", "image_id", F.col("ord").alias("body_ord"), body.alias("bbox"), (F.lit(0.3) + F.lit(0.01) * (s % 70)).alias("confidence"), (p % 3).cast("int").alias("class_id"))
     return faces, bodies
 
 
@@ -148,7 +148,7 @@ boxes AS (SELECT 'E0' AS event_name, 'IMG_' || l_orderkey AS image_id, l_partkey
 faces AS (SELECT event_name, image_id, ord AS face_ord, p % 200 AS x1, s % 100 AS y1, p % 200 + 20 + p % 40 AS x2, s % 100 + 20 + p % 40 AS y2, 0.4::DOUBLE + 0.01::DOUBLE * (p % 60) AS confidence FROM boxes),
 bodies AS (
   SELECT event_name, image_id, ord AS body_ord, (p * 3) % 180 AS x1, (s * 7) % 80 AS y1, (p * 3) % 180 + 60 + s % 50 AS x2, (s * 7) % 80 + 100 + p % 60 AS y2, 0.3::DOUBLE + 0.01::DOUBLE * (s % 70) AS confidence, p % 3 AS class_id
-  FROM boxes WHERE ord < 3),
+  FROM boxes),
 files AS (
   SELECT page_id, url, '/srv/data/events/E' || (page_id % 4) || '/' || (['Gallery', 'reference', 'notes'])[page_id % 3 + 1] || '/Ann  Lee ' || (page_id % 5) || ' - 4' || page_id
     || (['.jpg', '.JPEG', '.avif', '.gif', '.Png', '.txt', ''])[page_id % 7 + 1] AS path
