@@ -36,9 +36,9 @@ REACH, LEAST = 2, 1e-6
 #: Estimated share of a query's k-th neighbours that may be missed, over all tables.
 MISS = 0.08
 #: Index rows of a part, queries of a block, and how many slices at most need be known everywhere.
-PART, QUERIES, SLICES = 8192, 4096, 100_000
-#: Candidates count down to the score of so many times k in the sample.
-DEEP = 2
+PART, QUERIES, SLICES = 4096, 4096, 100_000
+#: Candidates count down to the score that about so many times k of all rows reach, as the sample shows it.
+DEEP = 3
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def _index(hashes: Hashes):
 def _plan(hashes: Hashes, ids: np.ndarray, seen: np.ndarray, n: int, k: int):
     """Adds to each query the buckets to visit and a score that its k best candidates should reach."""
     lifted = hashes.lift(seen, False)
-    rank = min(len(ids), max(1, round(k * len(ids) / n)))
+    rank, deep = (min(len(ids), max(1, round(k * many * len(ids) / n))) for many in (1, DEEP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +121,7 @@ def _plan(hashes: Hashes, ids: np.ndarray, seen: np.ndarray, n: int, k: int):
             near.sort(1)
             kth = near[:, -rank]
             dist = np.sqrt(np.maximum(2 - 2 * np.where(np.isfinite(kth), kth, -1.0), 1e-6))
-            low = near[:, -DEEP * k] * hashes.largest * np.sqrt((q * q).sum(1)) if near.shape[1] >= DEEP * k else np.full(len(q), -np.inf)
+            low = near[:, -deep] * hashes.largest * np.sqrt((q * q).sum(1)) if n > DEEP * k else np.full(len(q), -np.inf)
             keys = [hashes.probes(p, d).view(np.int64) for p, d in zip(hashes.place(up), dist, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(low)], ["id", "x", "buckets", "low"])
 
