@@ -23,9 +23,14 @@ NOW = 1.8e9
 KEY = ("event_name", "observation_id")
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """As the SQL rounds doubles: the product with 10 ** digits, half away from zero; a double's decimals would meet other ties."""
+    scale = float(10**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(scale), 0) / F.lit(scale)
+
+
 def r8(c: str | Column) -> Column:
-    """For ratios of small integers, where four decimals meet ties that engines round differently."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 8)
+    return rounded(c, 8)
 
 
 def query(name: str, oracle: str | None = None):
@@ -39,7 +44,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def r4(c: str | Column) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+    return rounded(c, 4)
 
 
 # Sources

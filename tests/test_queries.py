@@ -1,5 +1,6 @@
 """Every query that has SQL gives the rows of that SQL; and the entry module stands without the training-data operators."""
 
+import math
 import subprocess
 import sys
 
@@ -60,3 +61,19 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_geometry_rounds_ties_as_its_sql(spark, con, monkeypatch):
+    boxes = "event_name string, image_id string, {0} int, bbox struct<x1:int,y1:int,x2:int,y2:int>"
+    one = [spark.createDataFrame([("E0", "i", 0, b)], boxes.format(n)) for n, b in (("face_ord", (0, 0, 77, 110)), ("body_ord", (10, 87, 43, 120)))]
+    monkeypatch.setattr(plans.X, "faces_and_bodies", lambda *_: one)
+    (row,) = plans.QUERIES["fn_geometry"](spark, SF).collect()
+    assert (row["face_area"], row["body_area"], row["overlap"]) == (8470, 1089, 759)
+    assert row["iou"] == con.execute("select round(759 / (8470 + 1089 - 759), 4)").fetchone()[0] == 0.0862
+
+
+def test_rounding_is_that_of_the_sql(spark, con):
+    xs = [s * n / 20000 for n in range(1, 20000, 2) for s in (1, -1)] + [None, math.nan, math.inf, 0.0, 1e300]
+    got = [tuple(r) for r in spark.createDataFrame(list(enumerate(xs)), "i long, x double").select("i", plans.r4("x"), plans.r8("x")).orderBy("i").collect()]
+    con.execute("create or replace temp table ties as select unnest(range(len($1))) as i, unnest($1) as x", [xs])
+    assert repr(got) == repr(con.execute("select i, round(x, 4), round(x, 8) from ties order by i").fetchall())
