@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, staged
 
-__all__ = ["WORD", "bind", "held_out", "hot_keys", "pieces", "rewrite", "running", "shared_dir", "spread_join", "staged", "table", "word_count"]
+__all__ = ["WORD", "bind", "freed", "held_out", "hot_keys", "pieces", "rewrite", "running", "shared_dir", "small_batches", "spread_join", "staged", "table", "word_count"]
 
 #: A word, wherever a contract speaks of words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -17,12 +20,41 @@ WORD = r"[^\x20\x09-\x0D]++"
 _BLOCK = 1024
 #: A key is hot if it has more than this many rows and more than a thousandth of all rows, so at most 1000 keys are hot.
 HOT_ROWS, HOT_KEYS = 256, 1000
+#: Bytes after which an Arrow batch ends (a longer text is a batch of its own): JVM and worker hold several of each task, off the heap.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end after BATCH_BYTES; a lower setting stays.
+
+    Spark's own bound is 64 MB, so that batches of long texts are whole partitions.
+    """
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run; at its end what it held goes back to the system, as workers stay, while the JVM needs the memory in other stages.
+
+    Caches that refer to their owner are cycles, which only a collection frees.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def held_out() -> Column:
     """True where crc32 of doc_id as text leaves remainder 0 modulo 5 (null doc_id: true, it is never a label)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))

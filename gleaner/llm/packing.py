@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import freed, table
 from .training import Cache
 
 WIDTH = 2048
@@ -239,7 +239,7 @@ def _pack(vocabulary: str, width: int):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return docs.select("doc_id", text).mapInArrow(_pack(vocabulary or default_vocabulary(), width), SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(freed(_pack(vocabulary or default_vocabulary(), width)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

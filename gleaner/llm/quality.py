@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import freed, held_out, table
 from .training import Cache, sample, sigmoid
 
 #: Bounds of the training sample: labelled rows, and features of all of them together.
@@ -159,7 +159,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for b in batches:
             yield b.filter(pa.array([model.score(features(x.as_py() or "")) >= threshold for x in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

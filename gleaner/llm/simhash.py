@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, spread_join, staged, table
+from .common import freed, hot_keys, spread_join, staged, table
 from .components import components
 
 SHINGLE = 4
@@ -367,7 +367,7 @@ def alike(texts: DataFrame, sets, crowd: int | None = None) -> DataFrame:
 
     sets(nodes) gives (node, set) of those nodes.
     """
-    cells = texts.select("node", "fp", "check", "size").mapInArrow(_cells(THIRDS), "cell long, node long, fp long, check long, size int")
+    cells = texts.select("node", "fp", "check", "size").mapInArrow(freed(_cells(THIRDS)), "cell long, node long, fp long, check long, size int")
     found = _by_cell(cells, _candidates, "a long, b long, crowd boolean", crowd)
     found = staged(found.distinct(), "near-candidates")
     held = staged(sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-sets")
@@ -395,14 +395,14 @@ def representatives(docs: DataFrame, text: str = "text", crowd: int | None = Non
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.where("doc_id is not null").select(F.col(f"`{text}`").alias("text"), whole, F.monotonically_increasing_id().alias("row"))
     kept = rows.drop("text").schema.add("node", "long").add("fp", "long").add("check", "long").add("size", "integer")
-    rows = staged(rows.mapInArrow(_texts, kept), "near-texts")
+    rows = staged(rows.mapInArrow(freed(_texts), kept), "near-texts")
     order = F.struct(F.col("whole.doc_id").alias("id"), F.xxhash64(F.col(f"whole.`{text}`")).alias("h"), "row")
     texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.first("size").alias("size"), F.min(order).alias("best"))
     texts = staged(texts, "near-classes")
 
     def sets(nodes: DataFrame) -> DataFrame:
         chosen = texts.join(nodes, "node").select(F.col("best.row").alias("row"))
-        return rows.join(chosen, "row", "left_semi").select("node", F.col(f"whole.`{text}`").alias("text")).mapInArrow(_sets, "node long, set array<long>")
+        return rows.join(chosen, "row", "left_semi").select("node", F.col(f"whole.`{text}`").alias("text")).mapInArrow(freed(_sets), "node long, set array<long>")
 
     roots = components(alike(texts, sets, crowd))
     best = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
