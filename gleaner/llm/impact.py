@@ -1,15 +1,16 @@
-"""Exact top-k search over an impact-ordered index, score at a time.
+"""Exact top-k search over an impact-ordered index, score at a time, for batches of queries.
 
 A component's floor(64 x) is its impact, a dimension is a term, and a posting segment holds the rows of a block with one
-impact in one dimension.  A query's segments are processed by descending size of their contribution (query impact x segment
-impact), so whole segments add to the accumulators at once.  Impacts have signs here, so what is left of a row's score after
-a level is at most the number of dimensions it has not been met in, times the level's smallest contribution.  Processing
-stops once this proves that few rows can belong to the result; these possible members are rescored exactly.  A lower bound of
-the k-th score comes from exact scores of a bounded sample and of the block's leaders.
+impact in one dimension.  Segments are processed by descending size of their impact, in levels: the segments of a level add
+to the accumulators of a whole batch of queries at once, as a product of the queries' impacts with the level's postings laid
+out by dimension.  Impacts have signs here, so what is left of a row's score after a level is at most the norm of its
+postings below the level, times the query's norm.  A query's processing stops once this proves that few rows can belong to
+the result; these possible members are rescored exactly.  A lower bound of the k-th score comes from exact scores of a bounded
+sample and, where that leaves many rows, of the block's leaders.
 
 Defined results: vectors that are null or not finite, or not of the usual length, take no part; a repeated vec_id stands for
 the least of its vectors; ties go to the smaller vec_id; an empty table gives an empty result; other columns are not read.
-Impacts beyond 2 ** 24 in size would leave the exact range of the bounds and raise an error.
+Impacts beyond 2 ** 24 in size would leave the exact range of the accumulators and raise an error.
 """
 
 from __future__ import annotations
@@ -25,79 +26,74 @@ from .common import staged, table
 from .vectors import blockwise, clean, matrix, result, sample
 
 SCALE = 64
-#: Sums of gains below this size and counts up to 2 ** 20 share a double.
-_HALF = 2.0**30
-#: Shares of a block's postings processed up to each proof; after the last one all scores are known.
-LEVELS = (0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
-#: Processing stops when at most this share of the block can still belong to the result.
-FEW = 0.3
+#: Shares of a block's postings (without zeros) processed up to each proof, at least; after the last one all scores are known.
+LEVELS = (0.75, 0.9, 1.0)
+#: A query's processing stops when at most this share of the block can still belong to its result.
+FEW = 0.15
+#: Queries whose accumulators are held at once.
+BATCH = 128
 
 
 class Index:
-    """Posting segments of a block of rows: dimension by dimension, by impact."""
+    """Postings of a block of rows, by descending impact: levels of whole segments, each laid out by dimension."""
 
     def __init__(self, z: np.ndarray):
-        self.n, self.dims = z.shape
-        order = np.argsort(z, axis=0, kind="stable").T
-        self.rows = order.ravel()
-        self.value = np.take_along_axis(z.T, order, 1).ravel().astype(np.float64)
-        dim = np.repeat(np.arange(self.dims), self.n)
-        first = np.flatnonzero(np.concatenate(([True], (self.value[1:] != self.value[:-1]) | (dim[1:] != dim[:-1]))))
-        self.dim = dim[first]
-        self.start = np.append(first, len(self.value))
-        self.count = np.diff(self.start)
-        self.z = np.ascontiguousarray(z, np.float64)
-        # Scratch room: fresh arrays of this size cost more than the sums.
-        self._rows, self._gain = np.empty_like(self.rows), np.empty_like(self.value)
-
-    def _runs(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and dimensions of the postings of a mask of segments; neighbours of one dimension are one run."""
-        on = np.flatnonzero(segments)
-        opens = np.concatenate(([True], (np.diff(on) > 1) | (self.dim[on][1:] != self.dim[on][:-1])))
-        closes = np.append(opens[1:], True)
-        return self.start[on[opens]], self.start[on[closes] + 1], self.dim[on[opens]]
+        self.n = len(z)
+        #: Impacts up to 2 ** 24 are whole in single precision, too.
+        self.z = np.ascontiguousarray(z, np.float32)
+        size = np.abs(z)
+        met = size[size > 0]
+        floors = np.unique(np.quantile(met, [1 - x for x in LEVELS], method="lower"))[::-1] if len(met) else [1.0]
+        #: By level: dimensions with postings, these postings, and the norms of the rows' postings in later levels.
+        self.levels, above = [], np.inf
+        for floor in floors:
+            part = np.where((size >= floor) & (size < above), z, 0)
+            dims = np.flatnonzero(part.any(0))
+            rest = np.linalg.norm(np.where(size < floor, z, 0), axis=1)
+            self.levels.append((dims, part.T[dims].astype(np.float32), rest.astype(np.float32)))
+            above = floor
+        self.norm = np.linalg.norm(z, axis=1).max(initial=0)
+        # Accumulators and bounds are single precision: their error, for a query of norm 1, is less than this.
+        self.error = (z.shape[1] + 8) * 2.0**-22 * self.norm
 
     def search(self, q: np.ndarray, k: int, bound: float, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the best k - all that score `bound` or the block's k-th score, at least - and their scores."""
-        size = np.abs(q[self.dim] * self.value[self.start[:-1]])
-        order = np.argsort(-size, kind="stable")
-        upto = np.cumsum(self.count[order])
-        score, unmet = np.zeros(self.n), np.full(self.n, float(self.dims))
-        above = np.inf
-        for level in LEVELS:
-            end = int(np.searchsorted(upto, level * upto[-1], "left"))
-            floor = size[order[end]] if level < 1 else 0.0
-            segments = (size >= floor) & (size < above)
-            if segments.any():
-                starts, ends, dims = (x.tolist() for x in self._runs(segments))
-                n = sum(ends) - sum(starts)
-                rows, gain = self._rows[:n], self._gain[:n]
-                np.concatenate([self.rows[a:b] for a, b in zip(starts, ends, strict=True)], out=rows)
-                to = 0
-                for a, b, weight in zip(starts, ends, q[dims].tolist(), strict=True):
-                    np.multiply(self.value[a:b], weight, out=gain[to : to + b - a])
-                    to += b - a
-                # A row's sum and number of gains in one pass, where both fit into a double together.
-                if size[order[0]] * self.dims < _HALF:
-                    gain += 2 * _HALF
-                    both = np.bincount(rows, gain, self.n)
-                    met = np.rint(both / (2 * _HALF))
-                    score += both - met * (2 * _HALF)
-                else:
-                    met = np.bincount(rows, minlength=self.n)
-                    score += np.bincount(rows, gain, self.n)
-                unmet -= met
-            above = floor
-            most = score + unmet * above
-            if own >= 0:
-                most[own] = -np.inf
-            low = bound
-            if self.n - (own >= 0) >= k:
-                lead = np.argpartition(-most, k - 1)[:k]
-                low = max(low, float((self.z[lead] @ q).min()))
-            possible = np.flatnonzero(most >= low) if np.isfinite(low) else np.flatnonzero(np.isfinite(most))
-            if level == 1 or len(possible) <= FEW * self.n:
-                return possible, self.z[possible] @ q
+        return self.batch(q[None], k, np.array([bound]), np.array([own]))[0]
+
+    def batch(self, q: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of every query; own is a query's row, or -1."""
+        norm, weight, low = np.linalg.norm(q, axis=1), q.astype(np.float32), bound.astype(np.float64)
+        # Sums of integers below 2 ** 24 are exact in single precision.
+        exact = [w if small else x for w, x, small in zip(weight, q, norm * self.norm < 1 << 24, strict=True)]
+        least = lambda at: np.maximum(low[at] - norm[at] * self.error, np.finfo(np.float32).min).astype(np.float32)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+        left, score = np.arange(len(q)), 0
+        for level, (dims, part, rest) in enumerate(self.levels, 1):
+            score += weight[np.ix_(left, dims)] @ part
+            most = norm[left, None].astype(np.float32) * rest
+            most += score
+            inside = np.flatnonzero(own[left] >= 0)
+            most[inside, own[left[inside]]] = -np.inf
+            possible = most >= least(left)[:, None]
+            count = np.count_nonzero(possible, axis=1)
+            stays = np.zeros(len(left), bool)
+            for i, at in enumerate(left.tolist()):
+                if count[i] > FEW * self.n and self.n - (own[at] >= 0) >= k:
+                    lead = np.argpartition(-most[i], k - 1)[:k]
+                    low[at] = max(low[at], float((self.z[lead] @ exact[at]).min()))
+                    possible[i] = most[i] >= least(at)
+                    count[i] = np.count_nonzero(possible[i])
+                if level < len(self.levels) and count[i] > FEW * self.n:
+                    stays[i] = True
+                    continue
+                rows = np.flatnonzero(possible[i])
+                s = (self.z[rows] @ exact[at]).astype(np.float64)
+                best = s >= low[at]
+                found[at] = rows[best], s[best]
+            if not stays.any():
+                break
+            left, score = left[stays], score[stays]
+        return found
 
 
 def _impacts(x: np.ndarray) -> np.ndarray:
@@ -118,7 +114,7 @@ def _bounds(ids: np.ndarray, seen: np.ndarray, k: int):
                 continue
             s = _impacts(q) @ z.T
             s[b.column(0).to_numpy()[:, None] == ids[None, :]] = -np.inf
-            low = np.sort(s, 1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
+            low = np.partition(s, -k, 1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.float64())], ["id", "x", "low"])
 
     return run
@@ -132,14 +128,15 @@ def _search(k: int):
         order = np.argsort(ids)
         ids = ids[order]
         index = Index(_impacts(matrix(left["x"])[order]))
-        low = right["low"].to_numpy()
+        q, low = _impacts(matrix(right["x"])), right["low"].to_numpy()
+        at = np.searchsorted(ids, qids).clip(max=len(ids) - 1)
+        own = np.where(ids[at] == qids, at, -1)
         out = []
-        for i, q in enumerate(_impacts(matrix(right["x"]))):
-            at = int(np.searchsorted(ids, qids[i]))
-            own = at if at < len(ids) and ids[at] == qids[i] else -1
-            rows, s = index.search(q, k, low[i], own)
-            top = np.lexsort((ids[rows], -s))[:k]
-            out.append((qids[i], ids[rows][top], s[top].astype(np.int64)))
+        for i in range(0, len(q), BATCH):
+            some = slice(i, i + BATCH)
+            for query_id, (rows, s) in zip(qids[some], index.batch(q[some], k, low[some], own[some]), strict=True):
+                top = np.lexsort((ids[rows], -s))[:k]
+                out.append((query_id, ids[rows][top], s[top].astype(np.int64)))
         return result(out, pa.int64())
 
     return run
